@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column, is_missing
+from .text import as_column, clean_text, is_missing
+
+_EXACT_NUMBERS = ("tinyint", "smallint", "int", "bigint", "decimal")
 
 
 def typed(c: str | Column, dtype: str, fmt: str | None = None) -> Column:
     """Cast text to ``dtype``; what does not cast becomes NULL.
 
+    Spark raises and catches an exception for each value that fails a cast, which costs far more
+    than the cast. Blanks, and words where a number is due, are therefore set to NULL before it.
+
     ``fmt`` is a datetime pattern for text that is not ISO; it applies to ``date`` and
     ``timestamp_ntz``. Patterns are read in the session time zone, so keep that at UTC.
     """
-    c = as_column(c)
+    text = clean_text(c)
     if fmt is not None:
-        return F.try_to_timestamp(c, F.lit(fmt)).cast(dtype)
-    return c.try_cast(dtype)
+        return F.try_to_timestamp(text, F.lit(fmt)).cast(dtype)
+    if dtype.startswith(_EXACT_NUMBERS):
+        # Signs, point and digits all lie between "+" and "9"; letters do not.
+        text = F.when(text.substr(1, 1).between("+", "9"), text)
+    return text.try_cast(dtype)
 
 
 def strict_cast(c: str | Column, dtype: str, fmt: str | None = None) -> Column:
@@ -26,6 +34,7 @@ def strict_cast(c: str | Column, dtype: str, fmt: str | None = None) -> Column:
     The raise is part of the expression, so it does not depend on the session's ANSI setting.
     """
     c = as_column(c)
-    value = typed(c, dtype, fmt)
     message = F.concat(F.lit("cannot cast to "), F.lit(dtype), F.lit(": "), c)
-    return F.when(is_missing(c) | value.isNotNull(), value).otherwise(F.raise_error(message))
+    # The cast comes first and once; only what it leaves NULL is looked at again.
+    bad_value = F.when(~is_missing(c), F.raise_error(message).cast(dtype))
+    return F.coalesce(typed(c, dtype, fmt), bad_value)

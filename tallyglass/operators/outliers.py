@@ -6,73 +6,52 @@ are counted, the counts summed in value order across partitions, and the quartil
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import typed
 from .ordering import add_amount_before
 
-_QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
+_QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _REACH = 1.5  # whiskers reach at most this many quartile ranges beyond the box
 
 
-def _counted_values(df: DataFrame, column: str) -> DataFrame:
-    counted = df.groupBy(typed(column, "double").alias("value")).agg(F.count("*").alias("n"))
-    return add_amount_before(counted.where(F.col("value").isNotNull()), ["value"], "n", "before")
+def _value_at(place: int) -> Column:
+    inside = (F.col("before") <= place) & (F.lit(place) < F.col("before") + F.col("n"))
+    return F.max(F.when(inside, F.col("value")))
 
 
-def _value_at(place: Column) -> Column:
-    inside = (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
-    return F.max(F.when(inside, F.col("value")))
+def _quartile(share: float, n: int) -> Column:
+    """Linear interpolation between the two values nearest to the place."""
+    place = (n - 1) * share
+    low, part = math.floor(place), place - math.floor(place)
+    return _value_at(low) + (_value_at(low + (part > 0)) - _value_at(low)) * part
 
 
 def box_summary(df: DataFrame, column: str) -> DataFrame:
-    """One row: n, q1, median, q3, whisker ends and the rows beyond them. Runs a job.
+    """One row: n, q1, median, q3, whisker ends and the number of rows beyond them. Runs jobs.
 
-    Quartiles interpolate linearly between the two nearest values. A whisker ends at the last
-    value within 1.5 quartile ranges of the box, or at the box if there is none.
+    A whisker ends at the last value within 1.5 quartile ranges of the box, or at the box if
+    there is none. Only single rows (the count, the quartiles) come to the driver.
     """
-    values = _counted_values(df, column)
-    # A one-row side table, used through scalar subqueries rather than a join.
-    total = values.agg(F.sum("n").alias("n"))
-    places = [(name, (total.scalar() - 1) * q) for name, q in _QUARTILES]
-    found = values.agg(
-        F.sum("n").alias("n"),
-        *[_value_at(F.floor(p)).alias(f"{name}_floor") for name, p in places],
-        *[_value_at(F.ceil(p)).alias(f"{name}_ceil") for name, p in places],
-        *[F.max(p - F.floor(p)).alias(f"{name}_part") for name, p in places],
-    )
-    box = found.select(
-        "n",
-        *[
-            (
-                F.col(f"{name}_floor")
-                + (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) * F.col(f"{name}_part")
-            ).alias(name)
-            for name, _ in _QUARTILES
-        ],
-    )
-    q1, q3 = box.select("q1").scalar(), box.select("q3").scalar()
-    reach = (q3 - q1) * _REACH
+    counted = df.groupBy(typed(column, "double").alias("value")).agg(F.count("*").alias("n"))
+    values = add_amount_before(counted.where(F.col("value").isNotNull()), ["value"], "n", "before")
+    total = values.agg(F.sum("n")).first()[0] or 0
+    quartiles = [_quartile(share, max(total, 1)).alias(name) for name, share in _QUARTILES.items()]
+    box = values.agg(*quartiles).first().asDict()
+    drawn = {name: F.lit(value).cast("double") for name, value in box.items()}
+    reach = (drawn["q3"] - drawn["q1"]) * _REACH
+    floor, ceiling = drawn["q1"] - reach, drawn["q3"] + reach
     value, n = F.col("value"), F.col("n")
-    ends = values.agg(
-        F.least(F.min(F.when(value >= q1 - reach, value)), F.max(q1)).alias("whisker_low"),
-        F.greatest(F.max(F.when(value <= q3 + reach, value)), F.max(q3)).alias("whisker_high"),
-    )
-    low, high = ends.select("whisker_low").scalar(), ends.select("whisker_high").scalar()
-    beyond = values.agg(
-        F.coalesce(F.sum(F.when(value < low, n)), F.lit(0)).alias("low_outliers"),
-        F.coalesce(F.sum(F.when(value > high, n)), F.lit(0)).alias("high_outliers"),
-    )
-    return box.select(
-        "n",
-        "q1",
-        "median",
-        "q3",
-        low.alias("whisker_low"),
-        high.alias("whisker_high"),
-        beyond.select("low_outliers").scalar().alias("low_outliers"),
-        beyond.select("high_outliers").scalar().alias("high_outliers"),
+    return values.agg(
+        F.lit(total).cast("bigint").alias("n"),
+        *[q.alias(name) for name, q in drawn.items()],
+        F.least(F.min(F.when(value >= floor, value)), drawn["q1"]).alias("whisker_low"),
+        F.greatest(F.max(F.when(value <= ceiling, value)), drawn["q3"]).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(value < floor, n)), F.lit(0)).alias("low_outliers"),
+        F.coalesce(F.sum(F.when(value > ceiling, n)), F.lit(0)).alias("high_outliers"),
     )
 
 

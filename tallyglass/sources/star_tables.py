@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ISO_DAY = "yyyy-MM-dd"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,9 +32,9 @@ def raw_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     shop = order % 40
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.concat(F.lit("R"), _padded(order, 12)).alias("RECEIPT_ID"),
-        F.date_format(day, ISO_DAY).alias("PURCHASE_DATE"),
+        day.cast("string").alias("PURCHASE_DATE"),
         F.concat(
-            F.date_format(scan_day, ISO_DAY), F.lit(" "), _padded(order % 24, 2), F.lit(":30:00")
+            scan_day.cast("string"), F.lit(" "), _padded(order % 24, 2), F.lit(":30:00")
         ).alias("SCAN_DATE"),
         F.when(shop == 0, " WALMART ")
         .when(shop.isin(1, 2), "WALMART")
@@ -80,8 +78,8 @@ def raw_user(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(
             F.lit("U"), _padded(F.when(key % 5 == 0, key + 10_000_000).otherwise(key), 8)
         ).alias("ID"),
-        F.concat(F.date_format(created, ISO_DAY), F.lit(" 12:00:00")).alias("CREATED_DATE"),
-        F.when(key % 27 == 0, "").otherwise(F.date_format(born, ISO_DAY)).alias("BIRTH_DATE"),
+        F.concat(created.cast("string"), F.lit(" 12:00:00")).alias("CREATED_DATE"),
+        F.when(key % 27 == 0, "").otherwise(born.cast("string")).alias("BIRTH_DATE"),
         F.when(key % 21 == 0, "").otherwise(F.col("n_name")).alias("STATE"),
         F.element_at(F.array(*map(F.lit, languages)), (key % 3 + 1).cast("int")).alias("LANGUAGE"),
         F.element_at(F.array(*map(F.lit, genders)), (key % 8 + 1).cast("int")).alias("GENDER"),
