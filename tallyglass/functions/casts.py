@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column, clean_text, is_missing
+from .text import as_column, is_missing
 
-_EXACT_NUMBERS = ("tinyint", "smallint", "int", "bigint", "decimal")
+# What numbers and dates start with: a sign, a point or a digit, maybe after spaces.
+_NUMBER_START = "^ *[-+.0-9]"
 
 
 def typed(c: str | Column, dtype: str, fmt: str | None = None) -> Column:
-    """Cast text to ``dtype``; what does not cast becomes NULL.
+    """Cast text to a number or date type; what does not cast becomes NULL.
 
     Spark raises and catches an exception for each value that fails a cast, which costs far more
-    than the cast. Blanks, and words where a number is due, are therefore set to NULL before it.
+    than the cast. Blanks and words are therefore set to NULL before it.
 
     ``fmt`` is a datetime pattern for text that is not ISO; it applies to ``date`` and
     ``timestamp_ntz``. Patterns are read in the session time zone, so keep that at UTC.
     """
-    text = clean_text(c)
+    c = as_column(c)
     if fmt is not None:
-        return F.try_to_timestamp(text, F.lit(fmt)).cast(dtype)
-    if dtype.startswith(_EXACT_NUMBERS):
-        # Signs, point and digits all lie between "+" and "9"; letters do not.
-        text = F.when(text.substr(1, 1).between("+", "9"), text)
-    return text.try_cast(dtype)
+        return F.try_to_timestamp(F.when(~is_missing(c), c), F.lit(fmt)).cast(dtype)
+    return F.when(c.rlike(_NUMBER_START), c).try_cast(dtype)
 
 
 def strict_cast(c: str | Column, dtype: str, fmt: str | None = None) -> Column:

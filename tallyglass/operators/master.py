@@ -55,9 +55,9 @@ def _left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str) -> D
     A shuffle join hashes all NULL keys to one partition. NULL matches nothing, so a second join
     key may differ there: it is 0 where there is a key and spreads the rows where there is none.
     """
-    line = F.xxhash64(*[c for c in LINE_COLUMNS if c in left.columns])
+    receipt = F.xxhash64("RECEIPT_ID")
     # pmod(.., 1) is always 0, yet not a constant the optimizer would move out of the join keys.
-    spread_left = F.when(F.col(key).isNull(), F.pmod(line, F.lit(_SPREAD_WAYS))).otherwise(F.lit(0))
+    spread_left = F.when(F.col(key).isNull(), F.pmod(receipt, F.lit(_SPREAD_WAYS))).otherwise(F.lit(0))
     spread_right = F.pmod(F.xxhash64(key), F.lit(1))
     return (
         left.withColumn(_SPREAD, spread_left.cast("int"))
@@ -70,6 +70,25 @@ def _left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str) -> D
     )
 
 
+def add_users(lines: DataFrame, users: DataFrame) -> DataFrame:
+    """Receipt lines with the columns of their user, prefixed ``USERID_``."""
+    about = users.select("USER_ID", *[F.col(c).alias(f"USERID_{c}") for c in USER_COLUMNS])
+    return _left_join_spreading_nulls(lines, about, "USER_ID")
+
+
+def add_products(lines: DataFrame, products: DataFrame, number: str | None = None) -> DataFrame:
+    """Receipt lines with the columns of their product, prefixed ``BARCODE_``.
+
+    ``number`` names a column that takes the product's row number.
+    """
+    about = products.select(
+        "BARCODE",
+        *[F.col(c).alias(f"BARCODE_{c}") for c in PRODUCT_COLUMNS],
+        *([F.col("row_id").alias(number)] if number else []),
+    )
+    return _left_join_spreading_nulls(lines, about, "BARCODE")
+
+
 def build_master(
     transactions: DataFrame, users: DataFrame, products: DataFrame, row_id: bool = True
 ) -> DataFrame:
@@ -81,15 +100,10 @@ def build_master(
     number break ties, so the order is total and the sort spreads any group of equal lines.
     """
     numbered = "row_id" in transactions.columns
+    if row_id and not numbered:
+        raise ValueError("numbering the master table needs numbered transactions and products")
     lines = transactions.withColumnRenamed("row_id", "DUPE_CHECK")
-    about_user = users.select("USER_ID", *[F.col(c).alias(f"USERID_{c}") for c in USER_COLUMNS])
-    about_product = products.select(
-        "BARCODE",
-        *[F.col(c).alias(f"BARCODE_{c}") for c in PRODUCT_COLUMNS],
-        *([F.col("row_id").alias("_product")] if row_id else []),
-    )
-    wide = _left_join_spreading_nulls(lines, about_user, "USER_ID")
-    wide = _left_join_spreading_nulls(wide, about_product, "BARCODE")
+    wide = add_products(add_users(lines, users), products, "_product" if row_id else None)
     columns = [
         *LINE_COLUMNS,
         *(["DUPE_CHECK"] if numbered else []),
@@ -98,8 +112,6 @@ def build_master(
     ]
     if not row_id:
         return wide.select(*columns)
-    if not numbered:
-        raise ValueError("numbering the master table needs numbered transactions and products")
     order = [*LINE_COLUMNS, "DUPE_CHECK", "_product"]
     return add_row_id(wide, order, "row_id", unique_order=True).select(*columns, "row_id")
 

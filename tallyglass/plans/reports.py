@@ -335,11 +335,13 @@ ANSWERS: dict[str, Report] = {
     "user_activity_ranks": lambda t: analytics.ranked_users(t.transactions),
     "power_users": lambda t: analytics.power_users(t.transactions).select("USER_ID"),
     "category_level_of_brand_question": lambda t: analytics.locate_value(
-        t.master, MASTER_CATEGORIES, BRAND_CATEGORY
+        t.lines_with_products, MASTER_CATEGORIES, BRAND_CATEGORY
     ),
-    "leading_brands": lambda t: analytics.leading_by_receipts(t.master, BRAND_CATEGORY),
-    "leading_brand": lambda t: analytics.leading_by_receipts(t.master, BRAND_CATEGORY, limit=1),
-    "top_store_by_generation": lambda t: analytics.top_per_group(t.master),
+    "leading_brands": lambda t: analytics.leading_by_receipts(t.lines_with_products, BRAND_CATEGORY),
+    "leading_brand": lambda t: analytics.leading_by_receipts(
+        t.lines_with_products, BRAND_CATEGORY, limit=1
+    ),
+    "top_store_by_generation": lambda t: analytics.top_per_group(t.lines_with_users),
 }
 
 

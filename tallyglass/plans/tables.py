@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.master import build_master, key_overlap
+from ..operators.master import add_products, add_users, build_master, key_overlap
 from ..operators.staging import stage_products, stage_transactions, stage_users
 from ..sources import star_tables
 from ..sources.csv_files import read_raw_csv
@@ -94,6 +94,16 @@ class RetailTables:
     def master(self) -> DataFrame:
         return build_master(self.transactions, self.users, self.products, row_id=False)
 
+    @cached_property
+    def lines_with_users(self) -> DataFrame:
+        """Enough where product columns are not used and repeats do not count."""
+        return add_users(self.transactions, self.users)
+
+    @cached_property
+    def lines_with_products(self) -> DataFrame:
+        """Enough where user columns are not used and repeats do not count."""
+        return add_products(self.transactions, self.products)
+
     @cached_property
     def traced_master(self) -> DataFrame:
         """The master table with the transaction number of each row, but no number of its own."""
