@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..operators.master import add_products, add_users, build_master, key_overlap
 from ..operators.staging import stage_products, stage_transactions, stage_users
 from ..sources import star_tables
 from ..sources.csv_files import read_raw_csv
-from ..sources.schemas import RAW_PRODUCTS, RAW_TRANSACTION, RAW_USER
+from ..sources.schemas import (
+    MASTER,
+    RAW_PRODUCTS,
+    RAW_TRANSACTION,
+    RAW_USER,
+    STAGE_PRODUCTS,
+    STAGE_TRANSACTION,
+    STAGE_USER,
+)
 from ..sources.scratch import store
-from ..sources.stored import read_parquet
+from ..sources.stored import read_parquet, write_parquet
+
+Source = DataFrame | Callable[[], DataFrame]
 
 
 class RetailTables:
-    """Raw, stage and master tables.
+    """Raw, stage and master tables. A raw table is a DataFrame or a function that makes one.
 
     ``transactions``, ``users``, ``products`` and ``master`` are lazy and carry no row numbers, so
     a question that needs none never pays for a sort. The ``numbered_...`` tables add them.
@@ -24,14 +36,12 @@ class RetailTables:
 
     def __init__(
         self,
-        raw_transactions: DataFrame,
-        raw_users: DataFrame,
-        raw_products: DataFrame,
+        raw_transactions: Source,
+        raw_users: Source,
+        raw_products: Source,
         read_from_files: bool = True,
     ):
-        self.raw_transactions = raw_transactions
-        self.raw_users = raw_users
-        self.raw_products = raw_products
+        self._sources = {"transactions": raw_transactions, "users": raw_users, "products": raw_products}
         self._read_from_files = read_from_files
 
     @classmethod
@@ -39,29 +49,83 @@ class RetailTables:
         cls, spark: SparkSession, transactions: str, users: str, products: str, on_malformed: str = "fail"
     ) -> RetailTables:
         return cls(
-            read_raw_csv(spark, transactions, RAW_TRANSACTION, on_malformed),
-            read_raw_csv(spark, users, RAW_USER, on_malformed),
-            read_raw_csv(spark, products, RAW_PRODUCTS, on_malformed),
-        )
-
-    @classmethod
-    def from_parquet(cls, spark: SparkSession, transactions: str, users: str, products: str) -> RetailTables:
-        return cls(
-            read_parquet(spark, transactions, RAW_TRANSACTION),
-            read_parquet(spark, users, RAW_USER),
-            read_parquet(spark, products, RAW_PRODUCTS),
+            lambda: read_raw_csv(spark, transactions, RAW_TRANSACTION, on_malformed),
+            lambda: read_raw_csv(spark, users, RAW_USER, on_malformed),
+            lambda: read_raw_csv(spark, products, RAW_PRODUCTS, on_malformed),
         )
 
     @classmethod
     def from_star(cls, spark: SparkSession, sf_dir: str) -> RetailTables:
         """Raw tables derived by joins from a folder of star-schema Parquet tables."""
         return cls(
-            star_tables.raw_transaction(spark, sf_dir),
-            star_tables.raw_user(spark, sf_dir),
-            star_tables.raw_products(spark, sf_dir),
+            lambda: star_tables.raw_transaction(spark, sf_dir),
+            lambda: star_tables.raw_user(spark, sf_dir),
+            lambda: star_tables.raw_products(spark, sf_dir),
             read_from_files=False,
         )
 
+    @classmethod
+    def from_folder(cls, spark: SparkSession, folder: str) -> RetailTables:
+        """Tables written by ``save``: everything typed, numbered and joined is read, not redone."""
+
+        def saved(name: str, schema: StructType) -> DataFrame:
+            return read_parquet(spark, f"{folder}/{name}", schema)
+
+        tables = cls(
+            lambda: saved("raw_transactions", RAW_TRANSACTION),
+            lambda: saved("raw_users", RAW_USER),
+            lambda: saved("raw_products", RAW_PRODUCTS),
+        )
+        tables.numbered_transactions = saved("transactions", STAGE_TRANSACTION)
+        tables.numbered_users = saved("users", STAGE_USER)
+        tables.numbered_products = saved("products", STAGE_PRODUCTS)
+        tables.numbered_master = saved("master", MASTER)
+        tables.transactions = tables.numbered_transactions.drop("row_id")
+        tables.users = tables.numbered_users.drop("row_id")
+        tables.products = tables.numbered_products.drop("row_id")
+        tables.traced_master = tables.numbered_master.drop("row_id")
+        tables.master = tables.traced_master.drop("DUPE_CHECK")
+        # The stored table prunes unused columns itself; no join is left to leave out.
+        tables.lines_with_users = tables.lines_with_products = tables.master
+        return tables
+
+    def save(self, folder: str) -> RetailTables:
+        """Write raw, stage and master tables as Parquet and return the tables that read them.
+
+        Each step reads what the step before it wrote, so the CSV files are parsed once.
+        """
+
+        def written(df: DataFrame, name: str, schema: StructType) -> DataFrame:
+            write_parquet(df, f"{folder}/{name}")
+            return read_parquet(df.sparkSession, f"{folder}/{name}", schema)
+
+        raw = RetailTables(
+            written(self.raw_transactions, "raw_transactions", RAW_TRANSACTION),
+            written(self.raw_users, "raw_users", RAW_USER),
+            written(self.raw_products, "raw_products", RAW_PRODUCTS),
+        )
+        lines = written(raw.numbered_transactions, "transactions", STAGE_TRANSACTION)
+        users = written(raw.numbered_users, "users", STAGE_USER)
+        products = written(raw.numbered_products, "products", STAGE_PRODUCTS)
+        written(build_master(lines, users, products), "master", MASTER)
+        return RetailTables.from_folder(lines.sparkSession, folder)
+
+    def _raw(self, name: str) -> DataFrame:
+        source = self._sources[name]
+        return source if isinstance(source, DataFrame) else source()
+
+    @cached_property
+    def raw_transactions(self) -> DataFrame:
+        return self._raw("transactions")
+
+    @cached_property
+    def raw_users(self) -> DataFrame:
+        return self._raw("users")
+
+    @cached_property
+    def raw_products(self) -> DataFrame:
+        return self._raw("products")
+
     def _for_numbering(self, raw: DataFrame, name: str) -> DataFrame:
         # Numbering breaks ties by arrival order, which only repeats when read from files.
         return raw if self._read_from_files else store(raw, name)
