@@ -74,12 +74,18 @@ def conflicting_keys(
 
 
 def review_conflicts(
-    df: DataFrame, conflicts: DataFrame, key: str | Column, name: str = "CAST_BARCODE"
+    df: DataFrame,
+    conflicts: DataFrame,
+    key: str | Column,
+    name: str = "CAST_BARCODE",
+    sort: bool = True,
 ) -> DataFrame:
     """All source rows of the conflicting keys with the number of variants, in key order.
 
     The list of conflicts grows with the data, so it carries no broadcast hint: Spark broadcasts
-    it when it is measured small and otherwise joins by shuffle.
+    it when it is measured small and otherwise joins by shuffle. Sorting ranges on whole rows, so
+    only full copies of a row meet; ``sort=False`` leaves it out.
     """
     keyed = df.withColumn(name, F.col(key) if isinstance(key, str) else key)
-    return keyed.join(conflicts, name).orderBy(name, *df.columns)
+    rows = keyed.join(conflicts, name)
+    return rows.orderBy(name, *df.columns) if sort else rows

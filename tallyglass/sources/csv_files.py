@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _BAD_LINE = "_bad_line"
 
@@ -48,7 +48,7 @@ def malformed_lines(
     spark: SparkSession, path: str | list[str], schema: StructType, delimiter: str = ","
 ) -> DataFrame:
     """The lines whose number of fields differs from the schema, as unsplit text."""
-    with_bad = StructType(schema.fields).add(_BAD_LINE, "string")
+    with_bad = StructType([*schema.fields, StructField(_BAD_LINE, StringType())])
     lines = (
         _reader(spark, delimiter)
         .option("mode", "PERMISSIVE")
@@ -57,6 +57,6 @@ def malformed_lines(
         .schema(with_bad)
         .csv(path)
     )
-    # Spark refuses a plan that reads the bad-line column alone, so keep one more column in view.
-    first = schema.fieldNames()[0]
-    return lines.select(first, _BAD_LINE).where(F.col(_BAD_LINE).isNotNull()).select(F.col(_BAD_LINE).alias("line"))
+    # Spark refuses a plan that reads the bad-line column alone, so one more column is named.
+    line = F.coalesce(_BAD_LINE, schema.fieldNames()[0])
+    return lines.where(F.col(_BAD_LINE).isNotNull()).select(line.alias("line"))

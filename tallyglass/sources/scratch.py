@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 SHARED_DIR = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own_local_dir() -> str:
+    made = tempfile.mkdtemp(prefix="tallyglass-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -23,10 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {SHARED_DIR} to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="tallyglass-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set(SHARED_DIR, made)
-    return made
+    return _own_local_dir()
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
