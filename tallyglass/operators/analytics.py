@@ -10,7 +10,6 @@ from pyspark.sql.window import Window as W
 
 from ..functions.dates import generation, week_of_year
 from ..functions.text import as_column
-from .ordering import add_percent_rank
 
 WEEKS, RECEIPTS = "CountofWeeks", "UniqueReceiptsScanned"
 
@@ -79,23 +78,25 @@ def user_activity(
     )
 
 
-def _top_cutoff(counted: DataFrame, metric: str, users: str, p: float) -> Column:
-    """The lowest value of ``metric`` whose percent rank, highest first, is at most ``p``.
-
-    ``counted`` is a small table of value combinations with a number of users.
-    """
-    per_value = counted.groupBy(metric).agg(F.sum(users).alias("_users"))
-    # One task for the window, with a proven bound: k different receipt counts need at least
+def _value_ranks(activity: DataFrame, metric: str, name: str) -> DataFrame:
+    """Percent rank, highest first, of each value of a metric that counts things per user."""
+    # Counting pairs of values first lets both metrics share one pass over the users.
+    pairs = activity.groupBy(WEEKS, RECEIPTS).agg(F.count("*").alias("_n"))
+    per_value = pairs.groupBy(metric).agg(F.sum("_n").alias("_users"))
+    # One task for the windows, with a proven bound: k different receipt counts need at least
     # k(k-1)/2 receipts, so even 10^11 receipts give fewer than 450,000 rows. Weeks give 55.
-    above = W.orderBy(F.desc(metric)).rowsBetween(W.unboundedPreceding, -1)
-    everyone = W.partitionBy()
-    ranked = per_value.select(
-        metric,
-        F.coalesce(F.sum("_users").over(above), F.lit(0)).cast("double").alias("_above"),
-        (F.sum("_users").over(everyone) - 1).alias("_others"),
-    )
-    in_top = (F.col("_others") == 0) | (F.col("_above") / F.nullif("_others", F.lit(0)) <= p)
-    return ranked.where(in_top).agg(F.min(metric)).scalar()
+    higher = W.orderBy(F.desc(metric)).rowsBetween(W.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("_users").over(higher), F.lit(0)).cast("double")
+    others = F.sum("_users").over(W.partitionBy()) - 1
+    # With a single user the divisor is NULL and the rank 0.
+    rank = F.coalesce(above / F.nullif(others, F.lit(0)), F.lit(0.0))
+    return per_value.select(metric, rank.alias(name))
+
+
+def _top_cutoff(activity: DataFrame, metric: str, p: float) -> Column:
+    """The lowest value of ``metric`` whose percent rank is at most ``p``."""
+    ranks = _value_ranks(activity, metric, "_rank")
+    return ranks.where(F.col("_rank") <= p).agg(F.min(metric)).scalar()
 
 
 def power_users(
@@ -112,22 +113,21 @@ def power_users(
     The two cut-offs come from one count of value pairs; the users are then only filtered.
     """
     activity = user_activity(df, user, ts, receipt, year_aware)
-    counted = activity.groupBy(WEEKS, RECEIPTS).agg(F.count("*").alias("_n"))
     return activity.where(
-        (F.col(WEEKS) >= _top_cutoff(counted, WEEKS, "_n", p))
-        & (F.col(RECEIPTS) >= _top_cutoff(counted, RECEIPTS, "_n", p))
+        (F.col(WEEKS) >= _top_cutoff(activity, WEEKS, p))
+        & (F.col(RECEIPTS) >= _top_cutoff(activity, RECEIPTS, p))
     )
 
 
 def ranked_users(
     df: DataFrame, user: str = "USER_ID", ts: str = "SCAN_DATE", receipt: str = "RECEIPT_ID"
 ) -> DataFrame:
-    """Every user with both percent ranks, highest first. Runs jobs."""
+    """Every user with both percent ranks, highest first."""
     activity = user_activity(df, user, ts, receipt)
-    by_weeks = add_percent_rank(activity, WEEKS, "Percentile_Weeks")
-    return add_percent_rank(by_weeks, RECEIPTS, "Percentile_Receipts").select(
-        user, "Percentile_Weeks", "Percentile_Receipts"
-    )
+    by_weeks = _value_ranks(activity, WEEKS, "Percentile_Weeks")
+    by_receipts = _value_ranks(activity, RECEIPTS, "Percentile_Receipts")
+    ranked = activity.join(by_weeks, WEEKS).join(by_receipts, RECEIPTS)
+    return ranked.select(user, "Percentile_Weeks", "Percentile_Receipts")
 
 
 def locate_value(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:

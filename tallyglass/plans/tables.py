@@ -175,7 +175,7 @@ class RetailTables:
 
     @cached_property
     def numbered_master(self) -> DataFrame:
-        return build_master(self.numbered_transactions, self.numbered_users, self.numbered_products)
+        return build_master(self.numbered_transactions, self.users, self.numbered_products)
 
     @cached_property
     def user_overlap(self) -> DataFrame:

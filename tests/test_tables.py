@@ -121,7 +121,7 @@ def test_partition_sizing():
 
 def test_every_report_is_a_dataframe_with_named_columns(star):
     for name, report in REPORTS.items():
-        if name.startswith(("stage", "master", "sale_box", "sale_outliers", "user_activity_ranks")):
+        if name.startswith(("stage", "master", "sale_box", "sale_outliers")):
             continue  # these run jobs; the oracle test covers them
         columns = report(star).columns
         assert len(columns) == len(set(columns)) and all(c and "(" not in c for c in columns), name
