@@ -2,45 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
-
-
-@functools.cache
-def _own_local_dir() -> str:
-    made = tempfile.mkdtemp(prefix="tallyglass-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return made
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, else one beside the tables of the warehouse.
 
-    Without the setting a local session gets a temporary folder of its own. A cluster session
-    gets an error: a folder on one machine would be lost or unseen by the others.
+    Both are folders that all executors must reach; a machine's own temporary folder never is.
     """
     named = spark.conf.get(SHARED_DIR, None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {SHARED_DIR} to a folder that all executors can reach")
-    return _own_local_dir()
+    return named or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/_stored"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder now and return a DataFrame that reads it.
 
     The result survives lost executors without recomputing, and later steps read only the
     columns they use. Every call writes a new folder, so a plan never reads what it overwrites.
+    ``by`` names a column to lay the files out by, so that a filter on it reads its files only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyglass/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
