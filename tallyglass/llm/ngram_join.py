@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from .shared import connected_components, spread, store
 from .words import U64, mix, shingle_sets
 
-#: Shingles that a task keys at a time.
-CHUNK = 1_500_000
 #: Rows of one key within a chunk above which the key is salted.
 HOT = 64
 SALTS = 64
@@ -66,17 +64,16 @@ def bands(up_to: int, num: int, den: int) -> tuple[np.ndarray, ...]:
 
 def _allocate(size: int, need: int) -> tuple[int, int]:
     """(segments, those of weight 2) of least cost for sets of the size whose weights must reach need."""
-    best = None
-    for slack in range(need // 4 + 1):
-        for twos in range((need + slack) // 2 + 1):
-            ones = need + slack - 2 * twos
-            m = ones + twos
-            t = size / m
-            weak = m * math.exp(-t) * (1 + t)  # segments with one shingle or none
-            cost = ones + twos * (1 + t) + 12 * max(0.0, weak - slack) + 2 * m * math.exp(-t) * t * t / 2
-            if best is None or cost < best[0]:
-                best = cost, m, twos
-    return best[1], best[2]
+    step = max(1, need // 64)
+    slack = np.arange(0, need // 4 + 1, step)[:, None]
+    twos = np.arange(0, (need + slack.max()) // 2 + 1, step)[None, :]
+    ones = need + slack - 2 * twos
+    m = np.maximum(ones + twos, 1)
+    t = size / m
+    weak = m * np.exp(-t) * (1 + t)  # segments with one shingle or none
+    cost = ones + twos * (1 + t) + 12 * np.maximum(0, weak - slack) + m * np.exp(-t) * t * t
+    at = np.unravel_index(np.argmin(np.where(ones >= 0, cost, np.inf)), cost.shape)
+    return int(m[at]), int(twos[0, at[1]])
 
 
 def _keys(tokens: np.ndarray, sizes: np.ndarray, ids: np.ndarray, num: int, den: int):

@@ -30,18 +30,24 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
+class _Hashes(dict):
+    """Hash of each word, worked out once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def hash_words(
     texts: Sequence[bytes], split: Callable[[bytes], list[bytes]] = split_words
 ) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and the number of words of each text."""
-    seen: dict[bytes, int] = {}
+    seen = _Hashes()
     counts = np.empty(len(texts), np.int64)
     parts = []
     for i, text in enumerate(texts):
         found = split(text)
         counts[i] = len(found)
-        for w in set(found) - seen.keys():
-            seen[w] = xxhash.xxh3_64_intdigest(w)
         parts.append(np.fromiter(map(seen.__getitem__, found), U64, len(found)))
     return (np.concatenate(parts) if parts else np.empty(0, U64)), counts
 
