@@ -369,7 +369,10 @@ def _across(groups, labels, edges, tested, texts, docs, rule) -> DataFrame:
             pair = store(pair.join(tested, ["a", "b"], "left_anti"), "pairs")
             new_links.append(store(_linked(pair, _texts_of(pair, docs), *rule), "links"))
             tested = tested.union(pair)
-        for x in new_links:
+        fresh = [x for x in new_links if not x.isEmpty()]
+        if settled and not fresh:
+            return labels
+        for x in fresh:
             edges = edges.union(x)
         labels = connected_components(edges, "a", "b")
         if settled:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses as op5
 from . import ngram_join as op1
+from . import url_filter as op2
 from .shared import read_table
 
 
@@ -13,5 +15,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.ngram_join(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All URLs judged by rules and, where none fits, by two character language models."""
+    return op2.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices in all documents."""
+    return op5.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op5_license_scan)}
+ORACLE_SQL = {"op2_url_filter": op2.ORACLE, "op5_license_scan": op5.ORACLE}
