@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe as op8
+from . import decontaminate as op7
 from . import licenses as op5
 from . import ngram_join as op1
+from . import quality as op3
+from . import substring_dedup as op6
+from . import toxicity as op4
 from . import url_filter as op2
 from .shared import read_table
 
@@ -20,10 +25,42 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.filter_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by an additive model with pairs."""
+    return op3.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a factorization machine."""
+    return op4.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licence texts and notices in all documents."""
     return op5.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op5_license_scan)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that stand in an earlier one."""
+    return op6.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return op7.digests(op7.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Token ids of all documents and the texts decoded from them, as digests."""
+    return op8.tokenize(read_table(spark, sf_dir, "documents"), vocabulary or default_vocabulary(), digests=True)
+
+
+def default_vocabulary() -> str:
+    """The byte-level vocabulary among the public tokenizers of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality, op4_toxicity, op5_license_scan, op6_substring_dedup, op7_decontamination, op8_bpe)}
 ORACLE_SQL = {"op2_url_filter": op2.ORACLE, "op5_license_scan": op5.ORACLE}
