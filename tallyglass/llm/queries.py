@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe as op8
 from . import decontaminate as op7
+from . import embedding_dedup as op10
+from . import html_main as op9
 from . import licenses as op5
 from . import ngram_join as op1
 from . import quality as op3
@@ -55,6 +57,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return op8.tokenize(read_table(spark, sf_dir, "documents"), vocabulary or default_vocabulary(), digests=True)
 
 
+def op9_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return op9.extract_main(read_table(spark, sf_dir, "pages"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors linked within their label by a cosine of at least 0.93."""
+    return op10.near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def default_vocabulary() -> str:
     """The byte-level vocabulary among the public tokenizers of this machine."""
     import public_tokenizers
@@ -62,5 +74,5 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality, op4_toxicity, op5_license_scan, op6_substring_dedup, op7_decontamination, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality, op4_toxicity, op5_license_scan, op6_substring_dedup, op7_decontamination, op8_bpe, op9_html_main, op10_embedding_dedup)}
 ORACLE_SQL = {"op2_url_filter": op2.ORACLE, "op5_license_scan": op5.ORACLE}

@@ -26,8 +26,8 @@ TERMS = 4096
 #: Labelled texts that weights are fitted to: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
 FACTORS, EPOCHS, RATE, DECAY, BATCH = 4, 12, 0.1, 2e-4, 256
-#: A bucket occurs in so many training texts at least.
-LEAST = 5
+#: A bucket occurs in so many training texts at least, and has this likelihood-ratio statistic.
+LEAST, TELLING = 3, 15.0
 _KEEP = frozenset(range(48, 58)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
 
@@ -165,7 +165,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     place = np.full(BUCKETS, -1, np.int64)
     if len(whole) and len(seen):
         g = _telling(seen.yes.to_numpy(float), seen.no.to_numpy(float), float(whole.yes.iloc[0]), float(whole.no.iloc[0]))
-        best = seen.bucket.to_numpy()[np.lexsort((seen.bucket.to_numpy(), -g))[:TERMS]]
+        order = np.lexsort((seen.bucket.to_numpy(), -g))[:TERMS]
+        best = seen.bucket.to_numpy()[order[g[order] >= TELLING]]
         place[best] = np.arange(len(best))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
