@@ -50,6 +50,16 @@ def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _lowest_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same step within each batch, so that a hub sends one row a batch to the shuffle."""
+    for batch in batches:
+        if batch.num_rows:
+            u, v = (c.to_numpy() for c in batch.columns)
+            order = np.lexsort((v, u))
+            part = pa.RecordBatch.from_arrays([pa.array(u[order]), pa.array(v[order])], names=["u", "v"])
+            yield from (b.select(["u", "v"]) for b in _lowest(iter([part])))
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge but the smallest.
 
@@ -63,7 +73,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         F.greatest(x, y).alias("u"), F.least(x, y).alias("v")
     )
     while True:
-        rows = now.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_lowest, "u bigint, v bigint, more tinyint")
+        rows = now.mapInArrow(_lowest_here, "u bigint, v bigint").repartition("u").sortWithinPartitions("u", "v").mapInArrow(_lowest, "u bigint, v bigint, more tinyint")
         rows = store(rows, "edges")
         now = rows.select("u", "v")
         if rows.where("more = 1").isEmpty():
