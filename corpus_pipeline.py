@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import bpe, decontaminate, quality
 from tallyglass.llm.ngram_join import ngram_join
 from tallyglass.llm.queries import default_vocabulary
-from tallyglass.llm.shared import read_table, spread, store
+from tallyglass.llm.shared import read_table, ship, spread, store
 from tallyglass.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8."""
+    ship(spark)
     linked = ngram_join(docs, n=5, num=4, den=5)
     copies = linked.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(spread(copies), "doc_id", "left_anti").select(COLUMNS)
@@ -33,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand in an earlier document; n_chars follows the text."""
+    ship(spark)
     cut = dedup_substrings(docs)
     return cut.withColumn("n_chars", _chars(cut)).select(COLUMNS)
 
@@ -43,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     spans = found.select("doc_id", "starts", "ends").dropDuplicates(["doc_id"])
     joined = docs.join(spread(spans), "doc_id", "left").select("text", "starts", "ends", "doc_id", "lang", "source", "n_chars")
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("text", "doc_id", "lang", "source", "n_chars"))
-    cut = joined.mapInArrow(_cut, kinds)
+    cut = joined.mapInArrow(decontaminate.cut_batches, kinds)
     return cut.withColumn("n_chars", _chars(cut)).select(COLUMNS)
 
 
@@ -51,15 +50,9 @@ def _chars(docs: DataFrame):
     return F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, starts, ends = (batch.column(k).to_pylist() for k in range(3))
-        cut = [decontaminate.cut_words(*x) for x in zip(texts, starts, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), *batch.columns[3:]], names=["text", *batch.schema.names[3:]])
-
-
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the text decoded from them."""
+    ship(spark)
     return bpe.tokenize(docs, default_vocabulary(), keep=("doc_id", "lang", "source"))
 
 

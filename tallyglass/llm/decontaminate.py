@@ -15,7 +15,6 @@ size of the benchmark; a document is never shuffled.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,3 +288,11 @@ def cut_words(text: str, starts, ends) -> str:
         last = end[e - 1]
     parts.append(raw[last:])
     return b"".join(parts).decode("utf-8", "surrogatepass")
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, starts, ends, other columns): the text without the words of the spans."""
+    for batch in batches:
+        texts, starts, ends = (batch.column(k).to_pylist() for k in range(3))
+        cut = [cut_words(*x) for x in zip(texts, starts, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), *batch.columns[3:]], names=["text", *batch.schema.names[3:]])

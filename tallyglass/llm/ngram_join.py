@@ -35,13 +35,15 @@ from .words import U64, mix, shingle_sets
 #: Rows of one key within a chunk above which the key is salted.
 HOT = 64
 SALTS = 64
-#: Cross-component pairs that one round may test, as a multiple of the rows in open groups.
-PAIRS_PER_ROW = 4
+#: Cross-component pairs that one round may look at, as a multiple of the rows in open groups.
+PAIRS_PER_ROW = 200
 
 # Bits of a key row: the side of the index, the probing side, a one-deletion key, salted.
 INDEX, PROBE, DELETED, SALTED = 1, 2, 4, 8
-_ROW = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("flag", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
-_ROW_DDL = "kind tinyint, key bigint, flag tinyint, a bigint, b bigint"
+_ROW = pa.schema(
+    [("kind", pa.int8()), ("key", pa.int64()), ("flag", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("bits", pa.list_(pa.int64()))]
+)
+_ROW_DDL = "kind tinyint, key bigint, flag tinyint, a bigint, b bigint, bits array<bigint>"
 DOC, COPY, EDGE, GROUP = 0, 1, 2, 3
 
 
@@ -125,15 +127,28 @@ def _keys(tokens: np.ndarray, sizes: np.ndarray, ids: np.ndarray, num: int, den:
     return key.view(np.int64), flag, node
 
 
-def _rows(kind, key, flag, a, b) -> pa.RecordBatch:
+def _rows(kind, key, flag, a, b, bits=None) -> pa.RecordBatch:
     n = len(a)
+    bits = pa.nulls(n, _ROW.field("bits").type) if bits is None else bits
     full = lambda x, t: np.full(n, x, t) if np.isscalar(x) else x.astype(t, copy=False)
     return pa.RecordBatch.from_arrays(
-        [pa.array(full(x, f.type.to_pandas_dtype())) for x, f in zip((kind, key, flag, a, b), _ROW, strict=True)],
+        [*(pa.array(full(x, f.type.to_pandas_dtype())) for x, f in zip((kind, key, flag, a, b), _ROW, strict=False)), bits],
         schema=_ROW,
     )
 
 
+def _parity(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """256 bits of each set: each is the parity of the tokens that fall on it.
+
+    A token that only one of two sets has turns one bit, so the sets differ in at least as many
+    tokens as their bits differ.
+    """
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(of * 256 + (tokens >> U64(56)).astype(np.int64), minlength=256 * len(sizes)) & 1
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(sizes) + 1, 4), pa.int32()), pa.array(words))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 8 << 20):
     """Lists of (id, text) of about so many bytes; rows without id or text are left to the caller."""
     ids, texts, held = [], [], 0
@@ -156,7 +171,8 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
         given = np.array([i is not None for i in ids])
         node = np.array([i if i is not None else 0 for i in ids], np.int64)
         if given.any():  # spread by a hash of the id
-            yield _rows(DOC, mix(node[given].view(U64)).view(np.int64), 0, node[given], sizes[given])
+            bits = _parity(tokens[np.repeat(given, sizes)], sizes[given])
+            yield _rows(DOC, mix(node[given].view(U64)).view(np.int64), 0, node[given], sizes[given], bits)
         # Copies within the chunk stand behind the first of them.
         ends = np.cumsum(sizes)
         first: dict[bytes, int] = {}
@@ -208,10 +224,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     lead = None  # key, flag, node of the group that the last batch ended in; whether its first row is out
     for batch in batches:
-        kind, key, flag, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        kind, key, flag, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
         other = kind != GROUP
         if other.any():
-            yield _rows(kind[other], key[other], flag[other], a[other], b[other])
+            bits = batch.column(5).filter(pa.array(other))
+            yield _rows(kind[other], key[other], flag[other], a[other], b[other], bits)
             key, flag, a = key[~other], flag[~other], a[~other]
         if not len(key):
             continue
@@ -309,7 +326,8 @@ def ngram_join(
     links = store(_linked(pairs, texts, n, num, den), "links")
     edges = copies.union(links)
     labels = connected_components(edges, "a", "b")
-    labels = _across(groups, labels, edges, pairs, texts, binary, (n, num, den))
+    bits = found.where((F.col("kind") == DOC) & (F.col("b") > 0)).select(F.col("a").alias("node"), F.col("b").alias("size"), "bits")
+    labels = _across(groups, labels, edges, pairs, bits, binary, (n, num, den))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     known = rows.join(spread(labels), rows.doc_id == labels.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
@@ -324,13 +342,16 @@ def _sizes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts, n)[1])], names=["n_shingles"])
 
 
-def _across(groups, labels, edges, tested, texts, docs, rule) -> DataFrame:
+def _across(groups, labels, edges, tested, bits, docs, rule) -> DataFrame:
     """Labels after all candidate pairs across components are tested; see the module's text.
 
     While such pairs outnumber PAIRS_PER_ROW times the rows of their keys, every key tests another
     leader against its other components; this lowers the number, as components merge. What is
-    left is tested in as many parts as keep each part within that bound.
+    left is tested in as many parts as keep each part within that bound. Only pairs that sizes and
+    parity bits leave possible are verified.
     """
+    _, num, den = rule
+    held = ("flag", "node", "component", "size", "bits")
     before = None
     turn = 0
     while True:
@@ -340,7 +361,8 @@ def _across(groups, labels, edges, tested, texts, docs, rule) -> DataFrame:
         named = store(named, "named")
         ends = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         mixed = ends.where("x <> y").select("key")
-        open_ = store(named.join(spread(mixed), "key", "left_semi"), "open")
+        mixed_rows = named.join(spread(mixed), "key", "left_semi")
+        open_ = store(mixed_rows.join(spread(bits), "node"), "open")
         sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
         per_key = sizes.groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("p"), F.sum("n").alias("n"))
         rows, pairs = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0.0))).first()
@@ -354,17 +376,21 @@ def _across(groups, labels, edges, tested, texts, docs, rule) -> DataFrame:
         for part in range(parts):
             some = open_.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else open_
             if settled:
-                other = some.select("key", *(F.col(c).alias(f"{c}2") for c in ("flag", "node", "component")))
+                other = some.select("key", *(F.col(c).alias(f"{c}2") for c in held))
                 met = some.join(other, "key").where("component < component2")
             else:
                 turn += 1
-                pick = F.min_by(F.struct("flag", "node", "component"), F.xxhash64("node", F.lit(turn))).alias("p")
+                pick = F.min_by(F.struct(*held), F.xxhash64("node", F.lit(turn))).alias("p")
                 lead = some.where(F.col("flag").bitwiseAND(DELETED) == 0).groupBy("key").agg(pick)
-                lead = lead.select("key", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("flag", "node", "component")))
+                lead = lead.select("key", *(F.col(f"p.{c}").alias(f"{c}2") for c in held))
                 met = some.join(spread(lead), "key").where("component <> component2")
             x, y = F.col("flag"), F.col("flag2")
             both = lambda p, q: (p.bitwiseAND(INDEX) > 0) & (q.bitwiseAND(PROBE) > 0)
             met = met.where((x.bitwiseAND(DELETED) == 0) | (y.bitwiseAND(DELETED) == 0)).where(both(x, y) | both(y, x))
+            both_sizes = F.col("size") + F.col("size2")
+            most = both_sizes - 2 * F.ceil(num * both_sizes / (num + den))
+            differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(4)), F.lit(0))
+            met = met.where((den * F.least("size", "size2") >= num * F.greatest("size", "size2")) & (differ <= most))
             pair = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
             pair = store(pair.join(tested, ["a", "b"], "left_anti"), "pairs")
             new_links.append(store(_linked(pair, _texts_of(pair, docs), *rule), "links"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,26 @@ from pyspark.sql import functions as F
 from tallyglass.sources.scratch import store
 
 
+_SHIPPED = "tallyglass.shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, wherever the driver has loaded it from; once."""
+    sc = spark.sparkContext
+    if spark.conf.get(_SHIPPED, None) == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="tallyglass-code-")) / "tallyglass.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(to))
+    spark.conf.set(_SHIPPED, sc.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, by any path that Spark can open."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -87,8 +108,3 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = far.select("u", "v")
         if far.where("far").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def only(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """The named columns, whatever else the input holds."""
-    return df.select(*[df[c] for c in columns])
