@@ -362,7 +362,7 @@ WHERE BARCODE_CATEGORY_2 = 'Dips & Salsa' AND BARCODE_BRAND IS NOT NULL GROUP BY
     "leading_brand": """
 SELECT BARCODE_BRAND, count(DISTINCT RECEIPT_ID) AS TotalReceipts FROM master
 WHERE BARCODE_CATEGORY_2 = 'Dips & Salsa' AND BARCODE_BRAND IS NOT NULL GROUP BY BARCODE_BRAND
-ORDER BY TotalReceipts DESC, BARCODE_BRAND LIMIT 1""",
+QUALIFY rank() OVER (ORDER BY TotalReceipts DESC) = 1""",
     "top_store_by_generation": """
 WITH seen AS (
   SELECT DISTINCT RECEIPT_ID, STORE_NAME, year(USERID_BIRTH_DATE) AS born FROM master

@@ -19,9 +19,10 @@ def with_generation(df: DataFrame, birth_date: str, name: str = "GENERATION") ->
 
 
 def cut_off(share: str | Column, places: int = 6) -> Column:
-    """Cut, not round, to a number of decimals."""
+    """Cut, not round, to a number of decimals: toward zero, so a negative share is cut alike."""
     scale = 10**places
-    return F.floor(as_column(share) * scale).cast("bigint") / scale
+    c = as_column(share)
+    return F.when(c < 0, F.ceil(c * scale)).otherwise(F.floor(c * scale)).cast("bigint") / scale
 
 
 def share_of_total(
@@ -144,14 +145,19 @@ def leading_by_receipts(
     category_column: str = "BARCODE_CATEGORY_2",
     by: str = "BARCODE_BRAND",
     receipt: str = "RECEIPT_ID",
-    limit: int | None = None,
+    leaders: bool = False,
 ) -> DataFrame:
-    """Receipts per ``by`` value inside one category, most first. NULL values are left out."""
+    """Receipts per ``by`` value inside one category, most first. NULL values are left out.
+
+    With ``leaders`` only the values with the most receipts stay, all of them if they tie.
+    """
     rows = df.where((F.col(category_column) == category) & F.col(by).isNotNull())
     # Distinct rows, not count(distinct): a receipt without an id counts as one receipt too.
     counts = rows.select(by, receipt).distinct().groupBy(by).agg(F.count("*").alias("TotalReceipts"))
-    ordered = counts.orderBy(F.desc("TotalReceipts"), by)
-    return ordered if limit is None else ordered.limit(limit)
+    if leaders:
+        most = counts.agg(F.max("TotalReceipts")).scalar()
+        counts = counts.where(F.col("TotalReceipts") == most)
+    return counts.orderBy(F.desc("TotalReceipts"), by)
 
 
 def top_per_group(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import strict_cast
 from ..functions.text import as_column, null_if_blank
 
 
@@ -29,8 +30,11 @@ def delimiter_check(df: DataFrame, column: str, delimiter: str = ",") -> DataFra
 
 
 def control_total(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """Sum of a numeric text column, blanks counting as 0, to compare with the source file."""
-    amount = F.coalesce(null_if_blank(column), F.lit("0")).cast("decimal(30,10)")
+    """Sum of a numeric text column, blanks counting as 0, to compare with the source file.
+
+    An amount that cannot be read stops the job, whatever the session's ANSI setting.
+    """
+    amount = strict_cast(F.coalesce(null_if_blank(column), F.lit("0")), "decimal(30,10)")
     return df.agg(F.sum(amount).alias(name or f"Total_{column}"))
 
 

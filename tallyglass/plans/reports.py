@@ -339,7 +339,7 @@ ANSWERS: dict[str, Report] = {
     ),
     "leading_brands": lambda t: analytics.leading_by_receipts(t.lines_with_products, BRAND_CATEGORY),
     "leading_brand": lambda t: analytics.leading_by_receipts(
-        t.lines_with_products, BRAND_CATEGORY, limit=1
+        t.lines_with_products, BRAND_CATEGORY, leaders=True
     ),
     "top_store_by_generation": lambda t: analytics.top_per_group(t.lines_with_users),
 }

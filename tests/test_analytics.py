@@ -80,7 +80,7 @@ def test_locate_and_lead(table):
     found = analytics.locate_value(df, ["BARCODE_CATEGORY_1", "BARCODE_CATEGORY_2"], "Dips")
     assert values(found) == [("Dips", None), ("Snacks", "Dips")]
     assert [tuple(r) for r in analytics.leading_by_receipts(df, "Dips").collect()] == [("A", 2), ("B", 1)]
-    assert [tuple(r) for r in analytics.leading_by_receipts(df, "Dips", limit=1).collect()] == [("A", 2)]
+    assert [tuple(r) for r in analytics.leading_by_receipts(df, "Dips", leaders=True).collect()] == [("A", 2)]
 
 
 def test_top_store_keeps_ties(table):
@@ -100,3 +100,14 @@ def test_top_store_keeps_ties(table):
         ("Unknown", "C", 2, 1),
     ]
     assert analytics.top_per_group(df, top=2).where("GENERATION = 'Unknown'").count() == 2
+
+
+def test_leaders_that_tie_all_stay(table):
+    df = table("RECEIPT_ID BARCODE_CATEGORY_2 BARCODE_BRAND", ("1", "Dips", "A"), ("2", "Dips", "B"))
+    tied = analytics.leading_by_receipts(df, "Dips", leaders=True)
+    assert [tuple(r) for r in tied.collect()] == [("A", 1), ("B", 1)]
+
+
+def test_a_negative_share_is_cut_toward_zero(table):
+    df = table("s:decimal(38,13)").sparkSession.sql("SELECT CAST(-0.3333333333333 AS DECIMAL(38,13)) AS s")
+    assert df.select(analytics.cut_off("s")).first()[0] == -0.333333

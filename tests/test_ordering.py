@@ -80,11 +80,9 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert all(named in f for f in stored.inputFiles()) and stored.count() == 3
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
+def test_without_a_checkpoint_folder_tables_go_to_the_warehouse():
     def session(**conf):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)))
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(session(**{"spark.master": "yarn"}))
-    own = shared_dir(session(**{"spark.master": "local[2]"}))
-    assert own == shared_dir(session(**{"spark.master": "local[*]"}))
+    for master in ("yarn", "local[2]"):
+        assert shared_dir(session(**{"spark.master": master, "spark.sql.warehouse.dir": "hdfs:///w/"})) == "hdfs:///w/_stored"
