@@ -48,7 +48,7 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
     bits = max(1, int(seq.max()).bit_length())
     width = max(1, 63 // bits)
     key = np.zeros(n, np.int64)
-    for k in range(width):
+    for k in range(min(width, n)):
         key[: n - k] |= seq[k:].astype(np.int64) << (bits * (width - 1 - k))
     order = np.argsort(key, kind="stable")
     new = np.r_[True, key[order][1:] != key[order][:-1]]

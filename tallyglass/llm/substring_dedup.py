@@ -57,10 +57,11 @@ def cuts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _again(h: np.ndarray, lo: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by digest, doc and place, and in that order whether an equal chunk stands before."""
+    """Order by digest, doc and place, and in that order whether an equal chunk stands elsewhere before."""
     order = np.lexsort((at, doc, lo, h))
-    h, lo = h[order], lo[order]
-    return order, np.r_[False, (h[1:] == h[:-1]) & (lo[1:] == lo[:-1])]
+    h, lo, doc, at = h[order], lo[order], doc[order], at[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])], np.arange(len(h)), 0))
+    return order, (doc != doc[first]) | (at != at[first])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +108,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         hi, lo, doc, at, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        again = again.copy()
         plain = np.flatnonzero(~again)
-        h, x = hi[plain], lo[plain]
-        same = np.r_[False, (h[1:] == h[:-1]) & (x[1:] == x[:-1])]
         if len(plain):
-            same[0] = last == (h[0], x[0])
-            last = (h[-1], x[-1])
-        again[plain] = same
+            # The first chunk of each digest; for the first digest it may be in the last batch.
+            h, x, d, p = (c[plain] for c in (hi, lo, doc, at))
+            start = np.maximum.accumulate(np.where(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])], np.arange(len(h)), 0))
+            d0, p0 = d[start], p[start]
+            if last is not None and last[:2] == (h[0], x[0]):
+                d0[start == 0], p0[start == 0] = last[2:]
+            again[plain] = (d != d0) | (p != p0)
+            last = (h[-1], x[-1], d0[-1], p0[-1])
         yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(at[again])], names=["doc_id", "at"])
 
 

@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 TERMS = 4096
 #: Labelled texts that weights are fitted to: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
-FACTORS, EPOCHS, RATE, DECAY, BATCH = 4, 12, 0.1, 2e-4, 256
+FACTORS, STEPS, RATE, DECAY, BATCH = 4, 1200, 0.1, 2e-4, 256
 #: A bucket occurs in so many training texts at least, and has this likelihood-ratio statistic.
 LEAST, TELLING = 3, 15.0
 _KEEP = frozenset(range(48, 58)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
@@ -119,7 +119,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, place: np.ndarray, terms: int) ->
         m.vectors[:] = 0
         return m
     gw, gv = np.full(terms, 1e-6), np.full((terms, FACTORS), 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // -(-len(y) // BATCH))):
         order = rng.permutation(len(y))
         for b in range(0, len(y), BATCH):
             pick = order[b : b + BATCH]
