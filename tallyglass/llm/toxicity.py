@@ -1,6 +1,7 @@
 """Toxicity classifier: a factorization machine over hashed terms.
 
-A text's terms are its words and the first letters of longer words, hashed into 2^18 buckets; only
+A text's terms are its words, the first letters of longer words, and, where such a beginning comes
+again, how large a share of the text's words has it; terms are hashed into 2^18 buckets, and only
 whether a bucket occurs counts. The model adds a weight for each bucket and, for each pair of
 buckets, the product of their short vectors: an insult together with the mention of a group can
 weigh more than both alone. Buckets that tell nothing about the label in the training rows are
@@ -9,6 +10,7 @@ left out; that is counted over all of them, the weights are fitted to a bounded
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,27 +30,40 @@ TRAIN_ROWS = 20_000
 FACTORS, STEPS, RATE, DECAY, BATCH = 4, 1200, 0.1, 2e-4, 256
 #: A bucket occurs in so many training texts at least, and has this likelihood-ratio statistic.
 LEAST, TELLING = 3, 15.0
+#: Letters of a word's beginnings, and shares of the words from which a repeated one has a term.
+BEGINNINGS = (4, 5, 7)
+SHARES = (1 / 256, 1 / 128, 1 / 64)
 _KEEP = frozenset(range(48, 58)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
 
 
 class _Terms(dict):
-    """Buckets of a word: its own and those of its first four and five letters."""
+    """Buckets of a word: its own, then those of its beginnings."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > 500_000:
             self.clear()
         text = word.decode("utf-8", "replace").lower()
-        forms = {text, *(f"{text[:k]}~" for k in (4, 5) if len(text) >= k)}
+        forms = (text, *(f"{text[:k]}~" for k in BEGINNINGS if len(text) >= k))
         self[word] = found = tuple(xxhash.xxh3_64_intdigest(f) % BUCKETS for f in forms)
         return found
 
 
 def buckets(raw: bytes, terms: _Terms) -> np.ndarray:
     """The sorted buckets of a text's terms."""
+    words = raw.translate(_FOLD).split()
     found: set[int] = set()
-    for word in set(raw.translate(_FOLD).split()):
-        found.update(terms[word])
+    often: dict[int, int] = {}
+    for word, n in Counter(words).items():
+        own, *begin = terms[word]
+        found.add(own)
+        for b in begin:
+            often[b] = often.get(b, 0) + n
+    found.update(often)
+    again = [(b, n / len(words)) for b, n in often.items() if n > 1]
+    for level, share in enumerate(SHARES, 1):
+        # Another bucket for each share: an odd multiplier moves the number of the beginning's own.
+        found.update((b * 0x9E3779B1 + level * 0x5BD1E995 >> 3) % BUCKETS for b, of_all in again if of_all >= share)
     return np.array(sorted(found), np.int64)
 
 

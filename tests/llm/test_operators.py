@@ -88,6 +88,15 @@ def test_classifiers(spark):
     assert toxicity.classify(docs.where("false"), labels).count() == 0
 
 
+def test_a_beginning_that_comes_again_is_a_term_of_its_share():
+    of = lambda text: set(toxicity.buckets(text.encode(), toxicity._Terms()).tolist())
+    once, twice = of("Stemone " + "x " * 99), of("stemone stemtwo " + "x " * 98)
+    assert len(of("stem")) == 2 and of("") == set() and of("STEM") == of("stem")
+    # Two words of a hundred: over a 64th of the text, so all three shares have a term.
+    assert len(twice - once - of("stemtwo")) == 3
+    assert len(of("stemone stemtwo " + "x " * 2000) - once - of("stemtwo")) == 0
+
+
 def test_licenses(spark):
     docs = docs_of(spark, "Copyright 2020 Me\nReleased under the MIT licence!", "text\nAll  rights   RESERVED\nmore", None, "", "plain")
     got = {r.doc_id: (r.license, r.n_lines, r.licenses) for r in licenses.scan_licenses(docs).collect()}
