@@ -26,12 +26,16 @@ def read_raw_csv(
     schema: StructType,
     on_malformed: str = "fail",
     delimiter: str = ",",
+    multiline: bool = False,
+    check_header: bool = True,
 ) -> DataFrame:
     """Read files with a header line into an all-text table.
 
     ``on_malformed="fail"`` stops on a line with too few or too many fields, because such a line
     would otherwise lose text without notice. ``"keep"`` pads or cuts the line to the schema;
-    ``malformed_lines`` then lists those lines whole.
+    ``malformed_lines`` then lists those lines whole. ``check_header`` stops on a header whose names
+    or their order differ from the schema. ``multiline`` allows line breaks inside quotes; a file is
+    then read by one task, so split large exports into many files.
     """
     modes = {"fail": "FAILFAST", "keep": "PERMISSIVE"}
     return (
@@ -39,6 +43,8 @@ def read_raw_csv(
         .option("mode", modes[on_malformed])
         # Judge a line by all of its fields, also when a query reads only some columns.
         .option("columnPruning", False)
+        .option("multiLine", multiline)
+        .option("enforceSchema", not check_header)
         .schema(schema)
         .csv(path)
     )

@@ -1,6 +1,8 @@
 import pytest
 from conftest import values
 
+from pyspark.sql.types import StructType
+
 from tallyglass.operators import imports
 from tallyglass.sources.csv_files import malformed_lines, read_raw_csv
 from tallyglass.sources.schemas import RAW_USER
@@ -58,3 +60,14 @@ def test_sizes_and_control_total(table):
     assert total.dtypes == [("Total_a", "decimal(38,10)")] and float(total.first()[0]) == 3.75
     assert imports.preview(df, 2).count() == 2
     assert values(imports.preview(df, 1, columns=["b"], order_by=["b"])) == ["x"]
+
+
+def test_header_names_and_line_breaks_in_quotes(spark, tmp_path):
+    schema = StructType.fromDDL("a string, b string")
+    broken, swapped = tmp_path / "broken.csv", tmp_path / "swapped.csv"
+    broken.write_text('a,b\n"N\nY",2\n')
+    swapped.write_text("b,a\n1,2\n")
+    assert values(read_raw_csv(spark, str(broken), schema, multiline=True)) == [("N\nY", "2")]
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw_csv(spark, str(swapped), schema).collect()
+    assert values(read_raw_csv(spark, str(swapped), schema, check_header=False)) == [("1", "2")]
