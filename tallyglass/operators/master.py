@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_missing
 from ..sources.schemas import LINE_COLUMNS, PRODUCT_COLUMNS, USER_COLUMNS
 from .ordering import add_row_id
 
 _SPREAD = "_spread"
-_SPREAD_WAYS = 4096
 
 
 def key_overlap(
@@ -49,20 +49,25 @@ def overlap_examples(overlap: DataFrame, in_left: bool, in_right: bool) -> DataF
     )
 
 
+def _no_key(df: DataFrame, key: str) -> Column:
+    return is_missing(key) if dict(df.dtypes)[key] == "string" else F.col(key).isNull()
+
+
 def _left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join in which rows without a key do not meet in one task.
 
-    A shuffle join hashes all NULL keys to one partition. NULL matches nothing, so a second join
-    key may differ there: it is 0 where there is a key and spreads the rows where there is none.
+    A shuffle join hashes all equal keys to one partition. A NULL or blank key names nobody and
+    matches nothing, so a second join key may differ there: it is 0 where there is a key and a hash
+    of the whole row where there is none. A hot key with a value is left to Spark's splitting of
+    skewed partitions at run time.
     """
-    receipt = F.xxhash64("RECEIPT_ID")
     # pmod(.., 1) is always 0, yet not a constant the optimizer would move out of the join keys.
-    spread_left = F.when(F.col(key).isNull(), F.pmod(receipt, F.lit(_SPREAD_WAYS))).otherwise(F.lit(0))
+    spread_left = F.when(_no_key(left, key), F.xxhash64(*left.columns)).otherwise(F.lit(0))
     spread_right = F.pmod(F.xxhash64(key), F.lit(1))
     return (
-        left.withColumn(_SPREAD, spread_left.cast("int"))
+        left.withColumn(_SPREAD, spread_left.cast("bigint"))
         .join(
-            right.where(F.col(key).isNotNull()).withColumn(_SPREAD, spread_right.cast("int")),
+            right.where(~_no_key(right, key)).withColumn(_SPREAD, spread_right.cast("bigint")),
             [key, _SPREAD],
             "left",
         )

@@ -120,7 +120,7 @@ def test_master_keeps_every_line_and_shows_fanout(raw):
         ("r1", "TX", None, "B1"),
         ("r2", None, None, None),
         ("r2", None, None, None),
-        ("r3", "CA", None, None),
+        ("r3", None, None, None),
         ("r4", None, None, None),
     ]
     assert values(master.fanout_check(wide)) == [(1, 2)]
