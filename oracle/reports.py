@@ -5,6 +5,7 @@ from __future__ import annotations
 from .views import LINE, PRODUCT, USER, blank, full, ordered, with_views
 
 T, U, P = "raw_transaction", "raw_user", "raw_products"
+ODD_T, ODD_P = "unreadable_transaction", "unreadable_products"
 CATEGORIES = PRODUCT[:4]
 STAMP, DEC = "TIMESTAMP", "DECIMAL(15,2)"
 
@@ -157,6 +158,18 @@ ends AS (SELECT n, q1, median, q3, min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)) AS
          FROM sale, box GROUP BY n, q1, median, q3)
 """
 
+READ = f"""
+SELECT trim(RECEIPT_ID) AS RECEIPT_ID, try_cast(PURCHASE_DATE AS TIMESTAMP) AS PURCHASE_DATE,
+       try_cast(SCAN_DATE AS TIMESTAMP) AS SCAN_DATE, trim(STORE_NAME) AS STORE_NAME, trim(USER_ID) AS USER_ID,
+       try_cast(BARCODE AS BIGINT) AS BARCODE,
+       try_cast(replace(FINAL_QUANTITY, 'zero', '0') AS {DEC}) AS FINAL_QUANTITY,
+       try_cast(FINAL_SALE AS {DEC}) AS FINAL_SALE
+FROM {ODD_T}"""
+FAULTS = f"""concat_ws(', ', CASE WHEN try_cast(SCAN_DATE AS TIMESTAMP) IS NULL THEN 'SCAN_DATE' END,
+  CASE WHEN {full("BARCODE")} AND try_cast(BARCODE AS BIGINT) IS NULL THEN 'BARCODE' END,
+  CASE WHEN try_cast(replace(FINAL_QUANTITY, 'zero', '0') AS {DEC}) IS NULL THEN 'FINAL_QUANTITY' END,
+  CASE WHEN {full("FINAL_SALE")} AND try_cast(FINAL_SALE AS {DEC}) IS NULL THEN 'FINAL_SALE' END)"""
+
 SQL: dict[str, str] = {
     # import
     "transactions_row_count": total(T),
@@ -175,6 +188,7 @@ SQL: dict[str, str] = {
     "transactions_preview": first_rows(T, LINE),
     "users_preview": first_rows(U, USER),
     "products_preview": first_rows(P, PRODUCT),
+    "transactions_any_rows": f"SELECT least(count(*), 100) AS TotalRows, least(count(*), 100) AS FoundRows FROM {T}",
     "scan_dates": f"SELECT SCAN_DATE FROM {T}",
     # transactions
     "transactions_missing_counts": gaps_in_fields(T, LINE),
@@ -188,7 +202,7 @@ SQL: dict[str, str] = {
     "receipts_with_many_purchase_dates": per_key("RECEIPT_ID", "PURCHASE_DATE", "Unique_PURCHASE_DATE <> 1"),
     "purchase_date_spread": spread(T, "PURCHASE_DATE", STAMP),
     "purchase_date_gaps": date_gaps(T, "PURCHASE_DATE"),
-    "scan_date_cast_failures": cast_failures(T, "SCAN_DATE", STAMP),
+    "scan_date_cast_failures": cast_failures(ODD_T, "SCAN_DATE", STAMP),
     "receipts_with_many_scan_dates": per_key("RECEIPT_ID", "SCAN_DATE", "Unique_SCAN_DATE <> 1"),
     "scan_date_spread": spread(T, "SCAN_DATE", STAMP),
     "purchase_scan_mismatches": f"SELECT * FROM {DAY_PAIRS}",
@@ -205,7 +219,7 @@ SQL: dict[str, str] = {
         T, "USER_ID", extra=", count(DISTINCT RECEIPT_ID) AS TotalReceipts"
     ),
     "receipts_with_many_users": per_key("RECEIPT_ID", "USER_ID", "Unique_USER_ID <> 1"),
-    "transaction_barcode_cast_failures": cast_failures(T, "BARCODE", "BIGINT"),
+    "transaction_barcode_cast_failures": cast_failures(ODD_T, "BARCODE", "BIGINT"),
     "transaction_barcode_lengths": lengths(T, "BARCODE"),
     "barcode_length_lookup": rows(T, "length(BARCODE) = 12"),
     "stores_with_mixed_barcode_lengths": mixed_lengths(T, "STORE_NAME", "BARCODE"),
@@ -220,12 +234,14 @@ SQL: dict[str, str] = {
     "quantity_with_fraction": rows(T, "FINAL_QUANTITY <> 'zero' AND FINAL_QUANTITY NOT LIKE '%00'"),
     "quantity_without_two_places": rows(T, "FINAL_QUANTITY <> 'zero' AND FINAL_QUANTITY NOT LIKE '%.__'"),
     "quantity_cast_failures": cast_failures(T, "FINAL_QUANTITY", DEC),
-    "quantity_unexpected_cast_failures": cast_failures(T, "FINAL_QUANTITY", DEC, "FINAL_QUANTITY <> 'zero'"),
+    "quantity_unexpected_cast_failures": cast_failures(
+        ODD_T, "FINAL_QUANTITY", DEC, "FINAL_QUANTITY <> 'zero'"
+    ),
     "quantity_spread": spread(T, "FINAL_QUANTITY", DEC, "FINAL_QUANTITY <> 'zero'"),
     "quantity_lookup": rows(T, f"{QUANTITY} = 50"),
     "sale_with_fraction": rows(T, f"{full('FINAL_SALE')} AND FINAL_SALE NOT LIKE '%00'"),
     "sale_without_two_places": rows(T, f"{full('FINAL_SALE')} AND FINAL_SALE NOT LIKE '%.__'"),
-    "sale_cast_failures": cast_failures(T, "FINAL_SALE", DEC),
+    "sale_cast_failures": cast_failures(ODD_T, "FINAL_SALE", DEC),
     "sale_spread": spread(T, "FINAL_SALE", DEC, full("FINAL_SALE")),
     "high_sale_lookup": rows(T, f"{SALE} > 100000"),
     "zero_quantity_with_sale": rows(T, f"coalesce({QUANTITY}, 0) = 0 AND {SALE} > 0"),
@@ -259,6 +275,7 @@ low_outliers, high_outliers FROM ends""",
     "state_counts_present": counts(U, "STATE", full("STATE")),
     "language_counts": counts(U, "LANGUAGE"),
     "gender_counts": counts(U, "GENDER"),
+    "gender_counts_folded": counts(f"(SELECT lower(rtrim(GENDER)) AS GENDER FROM {U})", "GENDER"),
     "users_profile": profile(U, USER, dict(CREATED_DATE=STAMP, BIRTH_DATE=STAMP)),
     # products
     "products_missing_counts": gaps_in_fields(P, PRODUCT, extra=", count(*) AS TotalRows"),
@@ -294,7 +311,7 @@ FROM {P} GROUP BY ALL""",
     "brands": distinct(P, "BRAND"),
     "odd_brands": distinct(P, "BRAND", odd("BRAND")),
     "non_ascii_brands": distinct(P, "BRAND", beyond_ascii("BRAND")),
-    "product_barcode_cast_failures": cast_failures(P, "BARCODE", "BIGINT"),
+    "product_barcode_cast_failures": cast_failures(ODD_P, "BARCODE", "BIGINT"),
     "product_barcode_lengths": lengths(P, "BARCODE"),
     "makers_with_mixed_barcode_lengths": mixed_lengths(P, ["MANUFACTURER", "BRAND"], "BARCODE"),
     "rows_missing_product_barcode": rows(P, NO_BARCODE),
@@ -319,6 +336,9 @@ FROM {P} GROUP BY ALL""",
     "stage_transactions": "SELECT * FROM stage_transaction",
     "stage_users": "SELECT * FROM stage_user",
     "stage_products": "SELECT * FROM stage_product",
+    "stage_transactions_null": READ,
+    "stage_transactions_quarantine": f"{READ} WHERE {FAULTS} = ''",
+    "rejected_transactions": f"SELECT *, {FAULTS} AS cast_errors FROM {ODD_T} WHERE {FAULTS} <> ''",
     "stage_transactions_preview": first_rows("stage_transaction", ["row_id"]),
     "stage_users_preview": first_rows("stage_user", ["row_id"]),
     "stage_products_preview": first_rows("stage_product", ["row_id"]),

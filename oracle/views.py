@@ -36,32 +36,39 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["raw_transaction"] = """
 SELECT 'R' || lpad(o_orderkey::VARCHAR, 12, '0') AS RECEIPT_ID,
-       o_orderdate::DATE::VARCHAR AS PURCHASE_DATE,
-       (o_orderdate::DATE + (o_orderkey % 32)::INTEGER)::VARCHAR || ' '
+       (o_orderdate::DATE + stray)::VARCHAR AS PURCHASE_DATE,
+       (o_orderdate::DATE + stray + (o_orderkey % 32)::INTEGER)::VARCHAR || ' '
          || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':30:00' AS SCAN_DATE,
        CASE o_orderkey % 40
          WHEN 0 THEN ' WALMART ' WHEN 1 THEN 'WALMART' WHEN 2 THEN 'WALMART'
          WHEN 7 THEN 'K ENT ''S MARKE' WHEN 11 THEN 'FRESCO Y MÁS' WHEN 13 THEN 'ALDI, INC'
          ELSE 'STORE ' || (o_orderkey % 40)::VARCHAR END AS STORE_NAME,
-       'U' || lpad(o_custkey::VARCHAR, 8, '0') AS USER_ID,
+       CASE WHEN o_orderkey % 97 = 5 THEN ' '
+            ELSE 'U' || lpad((o_custkey + stray)::VARCHAR, 8, '0') END AS USER_ID,
        CASE WHEN l_partkey % 9 = 0 THEN '' WHEN l_partkey % 17 = 0 THEN NULL
             ELSE lpad(l_partkey::VARCHAR, 12, '0') END AS BARCODE,
        CASE WHEN l_linenumber % 4 = 0 THEN 'zero'
+            WHEN o_orderkey % 50 = 3 AND l_linenumber = 3 THEN l_quantity::BIGINT::VARCHAR || '.5'
             ELSE l_quantity::DECIMAL(15,2)::VARCHAR END AS FINAL_QUANTITY,
        CASE WHEN (l_orderkey + l_linenumber) % 4 = 1 THEN ' '
+            WHEN o_orderkey % 100 = 7 AND l_linenumber = 1 THEN (l_extendedprice * 100)::DECIMAL(15,2)::VARCHAR
+            WHEN o_orderkey % 100 = 9 AND l_linenumber = 2 THEN floor(l_extendedprice)::BIGINT::VARCHAR || '.5'
             ELSE l_extendedprice::DECIMAL(15,2)::VARCHAR END AS FINAL_SALE
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+FROM (SELECT *, (o_orderkey % 50 = 3 AND l_linenumber = 2)::INTEGER AS stray
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
 
 VIEWS["raw_user"] = """
-SELECT 'U' || lpad((c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 10000000 ELSE 0 END)::VARCHAR, 8, '0') AS ID,
+SELECT CASE WHEN c_custkey = 7 THEN ' ' ELSE
+         'U' || lpad((c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 10000000 ELSE 0 END)::VARCHAR, 8, '0') END AS ID,
        (DATE '2014-04-18' + (c_custkey % 3800)::INTEGER)::VARCHAR || ' 12:00:00' AS CREATED_DATE,
        CASE WHEN c_custkey % 27 = 0 THEN ''
             ELSE (DATE '1895-01-01' + (c_custkey * 7919 % 46000)::INTEGER)::VARCHAR END AS BIRTH_DATE,
        CASE WHEN c_custkey % 21 = 0 THEN '' ELSE n_name END AS STATE,
        ['', 'en', 'es-419'][c_custkey % 3 + 1] AS LANGUAGE,
+       CASE WHEN c_custkey % 40 = 9 THEN 'female, other' WHEN c_custkey % 40 = 17 THEN 'FEMALE' ELSE
        ['', 'Prefer not to say', 'prefer_not_to_say', 'Non-Binary', 'My gender isn''t listed',
-        'not_specified', 'female', 'male'][c_custkey % 8 + 1] AS GENDER
+        'not_specified', 'female', 'male'][c_custkey % 8 + 1] END AS GENDER
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 
@@ -75,13 +82,28 @@ SELECT CASE p_type WHEN 'PROMO' THEN 'Needs Review' WHEN 'ECONOMY' THEN 'Health
        CASE WHEN p_size % 10 = 1 AND p_type <> 'LARGE' THEN p_type || ' ' || p_size::VARCHAR
             ELSE '' END AS CATEGORY_4,
        CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 50 = 1 THEN 'PLACEHOLDER MANUFACTURER'
+            WHEN p_partkey % 50 = 2 THEN 'MÜLLER & CO'
             ELSE 'MFR & CO, ' || (p_partkey % 5)::VARCHAR END AS MANUFACTURER,
-       CASE WHEN p_partkey % 4 = 0 AND p_partkey % 100 <> 0 THEN '' ELSE p_brand || tail END AS BRAND,
+       CASE WHEN p_partkey % 4 = 0 AND p_partkey % 100 <> 0 THEN ''
+            WHEN p_partkey % 60 = 6 THEN p_brand || ' É' ELSE p_brand || tail END AS BRAND,
        CASE WHEN p_partkey % 23 = 0 THEN '' WHEN tail = '' THEN lpad(p_partkey::VARCHAR, 12, '0')
             ELSE p_partkey::VARCHAR END AS BARCODE
 FROM part JOIN (VALUES (''), (' X')) AS second(tail) ON tail = '' OR p_partkey % 80 = 1
 """
 
+VIEWS["unreadable_transaction"] = """
+SELECT * REPLACE (
+  CASE right(RECEIPT_ID, 2) WHEN '13' THEN 'not scanned' ELSE SCAN_DATE END AS SCAN_DATE,
+  CASE WHEN right(RECEIPT_ID, 2) = '17' AND BARCODE <> '' THEN BARCODE || 'x' ELSE BARCODE END AS BARCODE,
+  CASE WHEN right(RECEIPT_ID, 2) = '19' AND FINAL_SALE <> ' ' THEN 'free' ELSE FINAL_SALE END AS FINAL_SALE,
+  CASE right(RECEIPT_ID, 2) WHEN '23' THEN 'one' ELSE FINAL_QUANTITY END AS FINAL_QUANTITY)
+FROM raw_transaction
+"""
+
+VIEWS["unreadable_products"] = """
+SELECT * REPLACE (CASE WHEN BARCODE LIKE '%29' THEN BARCODE || 'x' ELSE BARCODE END AS BARCODE) FROM raw_products
+"""
+
 VIEWS["stage_transaction"] = f"""
 SELECT trim(RECEIPT_ID) AS RECEIPT_ID, PURCHASE_DATE::TIMESTAMP AS PURCHASE_DATE,
        SCAN_DATE::TIMESTAMP AS SCAN_DATE, trim(STORE_NAME) AS STORE_NAME, trim(USER_ID) AS USER_ID,
@@ -118,7 +140,7 @@ SELECT {", ".join(f"t.{c}" for c in LINE)}, t.row_id AS DUPE_CHECK,
        {", ".join(f"p.{c} AS BARCODE_{c}" for c in PRODUCT_PART)},
        row_number() OVER (ORDER BY {ordered(*(f"t.{c}" for c in LINE), "t.row_id", "p.row_id")}) AS row_id
 FROM stage_transaction t
-LEFT JOIN stage_user u ON u.USER_ID = t.USER_ID
+LEFT JOIN stage_user u ON u.USER_ID = t.USER_ID AND u.USER_ID <> ''
 LEFT JOIN stage_product p ON p.BARCODE = t.BARCODE
 """
 
@@ -166,6 +188,8 @@ _ORDER = [
     "raw_transaction",
     "raw_user",
     "raw_products",
+    "unreadable_transaction",
+    "unreadable_products",
     "stage_transaction",
     "stage_user",
     "stage_product",

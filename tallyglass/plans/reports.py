@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import typed
-from ..functions.text import is_missing, text_length
+from ..functions.text import fold_case, is_missing, text_length
 from ..operators import analytics, dates, imports, keys, master, missing, outliers, values
-from ..operators.staging import PRODUCT_TYPES, TRANSACTION_TYPES, USER_TYPES
+from ..operators.staging import PRODUCT_TYPES, TRANSACTION_TYPES, USER_TYPES, rejected_rows, stage_transactions
 from .profile import scan_profile, value_counts_of_columns
 from .tables import RetailTables
 
@@ -49,10 +49,19 @@ IMPORT: dict[str, Report] = {
     ),
     "users_preview": lambda t: imports.preview(t.raw_users, order_by=t.raw_users.columns),
     "products_preview": lambda t: imports.preview(t.raw_products, order_by=t.raw_products.columns),
-    "transactions_any_rows": lambda t: imports.preview(t.raw_transactions),
+    "transactions_any_rows": lambda t: _any_rows(t.raw_transactions),
     "scan_dates": lambda t: t.raw_transactions.select("SCAN_DATE"),
 }
 
+
+def _any_rows(df: DataFrame) -> DataFrame:
+    """How many rows an unordered preview shows, and how many of them are in the table."""
+    shown = imports.preview(df)
+    known = df.select("RECEIPT_ID", F.lit(1).alias("found")).distinct()
+    counted = shown.join(known, "RECEIPT_ID", "left")
+    return counted.agg(F.count("*").alias("TotalRows"), F.count("found").alias("FoundRows"))
+
+
 TRANSACTIONS: dict[str, Report] = {
     "transactions_missing_counts": lambda t: missing.missing_counts(t.raw_transactions),
     "receipt_id_lengths": lambda t: values.length_profile(t.raw_transactions, "RECEIPT_ID"),
@@ -190,9 +199,18 @@ USERS: dict[str, Report] = {
     "state_counts_present": lambda t: values.value_counts(t.raw_users, "STATE", drop_missing=True),
     "language_counts": lambda t: values.value_counts(t.raw_users, "LANGUAGE"),
     "gender_counts": lambda t: values.value_counts(t.raw_users, "GENDER"),
+    "gender_counts_folded": lambda t: _folded_counts(t.raw_users, "GENDER"),
     "users_profile": lambda t: scan_profile(t.raw_users, types=USER_TYPES),
 }
 
+
+def _folded_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows per value without regard to letter case, shown in lower case."""
+    counts = values.value_counts(df.withColumn(column, fold_case(column)), column)
+    plain = F.lower(F.rtrim(F.collate(F.col(column), "UTF8_BINARY")))
+    return counts.withColumn(column, plain)
+
+
 _DEMOGRAPHICS = ["BIRTH_DATE", "STATE", "LANGUAGE", "GENDER"]
 
 
@@ -301,6 +319,13 @@ INTEGRATION: dict[str, Report] = {
     "stage_transactions": lambda t: t.numbered_transactions,
     "stage_users": lambda t: t.numbered_users,
     "stage_products": lambda t: t.numbered_products,
+    "stage_transactions_null": lambda t: stage_transactions(t.raw_transactions, "null", row_id=False),
+    "stage_transactions_quarantine": lambda t: stage_transactions(
+        t.raw_transactions, "quarantine", row_id=False
+    ),
+    "rejected_transactions": lambda t: rejected_rows(t.raw_transactions, TRANSACTION_TYPES).withColumn(
+        "cast_errors", F.concat_ws(", ", "cast_errors")
+    ),
     "stage_transactions_preview": lambda t: imports.preview(t.numbered_transactions, order_by=["row_id"]),
     "stage_users_preview": lambda t: imports.preview(t.numbered_users, order_by=["row_id"]),
     "stage_products_preview": lambda t: imports.preview(t.numbered_products, order_by=["row_id"]),

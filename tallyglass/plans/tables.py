@@ -46,21 +46,28 @@ class RetailTables:
 
     @classmethod
     def from_csv(
-        cls, spark: SparkSession, transactions: str, users: str, products: str, on_malformed: str = "fail"
+        cls, spark: SparkSession, transactions: str, users: str, products: str, on_malformed: str = "fail", **options
     ) -> RetailTables:
+        """Raw tables from CSV files; ``options`` are those of ``read_raw_csv``."""
         return cls(
-            lambda: read_raw_csv(spark, transactions, RAW_TRANSACTION, on_malformed),
-            lambda: read_raw_csv(spark, users, RAW_USER, on_malformed),
-            lambda: read_raw_csv(spark, products, RAW_PRODUCTS, on_malformed),
+            lambda: read_raw_csv(spark, transactions, RAW_TRANSACTION, on_malformed, **options),
+            lambda: read_raw_csv(spark, users, RAW_USER, on_malformed, **options),
+            lambda: read_raw_csv(spark, products, RAW_PRODUCTS, on_malformed, **options),
         )
 
     @classmethod
-    def from_star(cls, spark: SparkSession, sf_dir: str) -> RetailTables:
-        """Raw tables derived by joins from a folder of star-schema Parquet tables."""
+    def from_star(cls, spark: SparkSession, sf_dir: str, unreadable: bool = False) -> RetailTables:
+        """Raw tables derived by joins from a folder of star-schema Parquet tables.
+
+        ``unreadable`` puts dates, numbers and barcodes among them that no cast can read.
+        """
+        lines, goods = star_tables.raw_transaction, star_tables.raw_products
+        if unreadable:
+            lines, goods = star_tables.unreadable_transaction, star_tables.unreadable_products
         return cls(
-            lambda: star_tables.raw_transaction(spark, sf_dir),
+            lambda: lines(spark, sf_dir),
             lambda: star_tables.raw_user(spark, sf_dir),
-            lambda: star_tables.raw_products(spark, sf_dir),
+            lambda: goods(spark, sf_dir),
             read_from_files=False,
         )
 

@@ -37,8 +37,11 @@ def raw_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     orders = _table(spark, sf_dir, "orders")
     order, part, line = F.col("o_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    day = F.col("o_orderdate").cast("date")
+    # One line of some receipts has another user and other dates than the rest.
+    strays = F.when((order % 50 == 3) & (line == 2), 1).otherwise(0)
+    day = F.date_add(F.col("o_orderdate").cast("date"), strays)
     scan_day = F.date_add(day, (order % 32).cast("int"))
+    price, amount = F.col("l_extendedprice"), F.col("l_quantity")
     shop = order % 40
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.concat(F.lit("R"), _padded(order, 12)).alias("RECEIPT_ID"),
@@ -53,16 +56,21 @@ def raw_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shop == 13, "ALDI, INC")
         .otherwise(F.concat(F.lit("STORE "), shop.cast("string")))
         .alias("STORE_NAME"),
-        F.concat(F.lit("U"), _padded(F.col("o_custkey"), 8)).alias("USER_ID"),
+        F.when(order % 97 == 5, " ")
+        .otherwise(F.concat(F.lit("U"), _padded(F.col("o_custkey") + strays, 8)))
+        .alias("USER_ID"),
         F.when(part % 9 == 0, "")
         .when(part % 17 == 0, F.lit(None).cast("string"))
         .otherwise(_padded(part, 12))
         .alias("BARCODE"),
         F.when(line % 4 == 0, "zero")
-        .otherwise(_money_text(F.col("l_quantity")))
+        .when((order % 50 == 3) & (line == 3), F.concat(amount.cast("bigint").cast("string"), F.lit(".5")))
+        .otherwise(_money_text(amount))
         .alias("FINAL_QUANTITY"),
         F.when((order + line) % 4 == 1, " ")
-        .otherwise(_money_text(F.col("l_extendedprice")))
+        .when((order % 100 == 7) & (line == 1), _money_text(price * 100))
+        .when((order % 100 == 9) & (line == 2), F.concat(F.floor(price).cast("string"), F.lit(".5")))
+        .otherwise(_money_text(price))
         .alias("FINAL_SALE"),
     )
 
@@ -85,14 +93,17 @@ def raw_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     languages = ["", "en", "es-419"]
     return customers.join(nations, customers.c_nationkey == nations.n_nationkey).select(
-        F.concat(
-            F.lit("U"), _padded(F.when(key % 5 == 0, key + 10_000_000).otherwise(key), 8)
-        ).alias("ID"),
+        F.when(key == 7, " ")
+        .otherwise(F.concat(F.lit("U"), _padded(F.when(key % 5 == 0, key + 10_000_000).otherwise(key), 8)))
+        .alias("ID"),
         F.concat(created.cast("string"), F.lit(" 12:00:00")).alias("CREATED_DATE"),
         F.when(key % 27 == 0, "").otherwise(born.cast("string")).alias("BIRTH_DATE"),
         F.when(key % 21 == 0, "").otherwise(F.col("n_name")).alias("STATE"),
         F.element_at(F.array(*map(F.lit, languages)), (key % 3 + 1).cast("int")).alias("LANGUAGE"),
-        F.element_at(F.array(*map(F.lit, genders)), (key % 8 + 1).cast("int")).alias("GENDER"),
+        F.when(key % 40 == 9, "female, other")
+        .when(key % 40 == 17, "FEMALE")
+        .otherwise(F.element_at(F.array(*map(F.lit, genders)), (key % 8 + 1).cast("int")))
+        .alias("GENDER"),
     )
 
 
@@ -123,9 +134,11 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((size % 10 == 1) & (kind != "LARGE"), numbered(size)).otherwise("").alias("CATEGORY_4"),
         F.when(key % 4 == 0, "")
         .when(key % 50 == 1, "PLACEHOLDER MANUFACTURER")
+        .when(key % 50 == 2, "MÜLLER & CO")
         .otherwise(F.concat(F.lit("MFR & CO, "), (key % 5).cast("string")))
         .alias("MANUFACTURER"),
         F.when((key % 4 == 0) & (key % 100 != 0), "")
+        .when(key % 60 == 6, F.concat(F.col("p_brand"), F.lit(" É")))
         .when(second, F.concat(F.col("p_brand"), F.lit(" X")))
         .otherwise(F.col("p_brand"))
         .alias("BRAND"),
@@ -134,3 +147,25 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(_padded(key, 12))
         .alias("BARCODE"),
     )
+
+
+def unreadable_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_transaction`` with dates, barcodes, sales and quantities that no cast can read."""
+    tail = F.right("RECEIPT_ID", F.lit(2))
+    return raw_transaction(spark, sf_dir).withColumns(
+        {
+            "SCAN_DATE": F.when(tail == "13", "not scanned").otherwise(F.col("SCAN_DATE")),
+            "BARCODE": F.when((tail == "17") & (F.col("BARCODE") != ""), F.concat("BARCODE", F.lit("x"))).otherwise(
+                F.col("BARCODE")
+            ),
+            "FINAL_SALE": F.when((tail == "19") & (F.col("FINAL_SALE") != " "), "free").otherwise(F.col("FINAL_SALE")),
+            "FINAL_QUANTITY": F.when(tail == "23", "one").otherwise(F.col("FINAL_QUANTITY")),
+        }
+    )
+
+
+def unreadable_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_products`` with barcodes that no cast can read."""
+    barcode = F.col("BARCODE")
+    odd = F.when(barcode.endswith("29"), F.concat(barcode, F.lit("x"))).otherwise(barcode)
+    return raw_products(spark, sf_dir).withColumn("BARCODE", odd)

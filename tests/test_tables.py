@@ -2,7 +2,6 @@
 
 import pytest
 from conftest import values
-from pyspark.sql import functions as F
 
 from tallyglass.operators.analytics import top_per_group
 from tallyglass.operators.staging import stage_transactions, stage_users
@@ -128,7 +127,4 @@ def test_every_report_is_a_dataframe_with_named_columns(star):
 
 
 def test_any_rows_come_from_the_table(star):
-    some = REPORTS["transactions_any_rows"](star)
-    assert some.count() == 100
-    assert some.join(star.raw_transactions, "RECEIPT_ID", "left_anti").count() == 0
-    assert some.where(F.col("RECEIPT_ID").isNull()).count() == 0
+    assert values(REPORTS["transactions_any_rows"](star)) == [(100, 100)]
