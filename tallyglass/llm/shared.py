@@ -71,20 +71,30 @@ def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _lowest_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same step within each batch, so that a hub sends one row a batch to the shuffle."""
+def _roots_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a batch as (node, smallest node that it reaches in the batch).
+
+    A node stands at most once in u for each batch, whatever its number of edges, so a hub sends
+    one row a batch to the shuffle.
+    """
     for batch in batches:
         if batch.num_rows:
-            u, v = (c.to_numpy() for c in batch.columns)
-            order = np.lexsort((v, u))
-            part = pa.RecordBatch.from_arrays([pa.array(u[order]), pa.array(v[order])], names=["u", "v"])
-            yield from (b.select(["u", "v"]) for b in _lowest(iter([part])))
+            nodes, at = np.unique(np.concatenate([c.to_numpy() for c in batch.columns]), return_inverse=True)
+            a, b = at[: batch.num_rows], at[batch.num_rows :]
+            root = np.arange(len(nodes))
+            while (root[a] != root[b]).any():
+                x, y = root[a], root[b]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root[root] != root).any():
+                    root = root[root]
+            low = root != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[root[low]])], names=["u", "v"])
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge but the smallest.
 
-    Small-star steps (Kiveris et al., 2014) join each node's lower neighbours to the lowest of
+    Each batch is contracted on its own first. Small-star steps (Kiveris et al., 2014) join each node's lower neighbours to the lowest of
     them until every node has one lower neighbour; then each node jumps to its parent's parent
     until all parents are roots. Groups are streamed, never held; rounds are written to the shared
     folder. Edges with a null end and loops are ignored; no edges give no rows.
@@ -94,7 +104,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         F.greatest(x, y).alias("u"), F.least(x, y).alias("v")
     )
     while True:
-        rows = now.mapInArrow(_lowest_here, "u bigint, v bigint").repartition("u").sortWithinPartitions("u", "v").mapInArrow(_lowest, "u bigint, v bigint, more tinyint")
+        rows = now.mapInArrow(_roots_here, "u bigint, v bigint").repartition("u").sortWithinPartitions("u", "v").mapInArrow(_lowest, "u bigint, v bigint, more tinyint")
         rows = store(rows, "edges")
         now = rows.select("u", "v")
         if rows.where("more = 1").isEmpty():

@@ -32,6 +32,25 @@ def test_components(spark):
     assert connected_components(edges.where("false"), "a", "b").count() == 0
 
 
+def test_components_of_hubs_and_chains(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(int(x), int(y)) for x, y in rng.integers(0, 900, (500, 2))]
+    pairs += [(k, k + 1) for k in range(1000, 1400)] + [(2000, int(k)) for k in range(2001, 2600)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    edges = spark.createDataFrame([pairs[k] for k in rng.permutation(len(pairs))], "a bigint, b bigint").repartition(5)
+    expected = sorted(((x, find(x)) for x in root if find(x) != x), key=str)
+    assert rows_of(connected_components(edges, "a", "b"), "node", "component") == expected
+
+
 def test_ngram_join_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(300)]
