@@ -13,7 +13,7 @@ units more than needed, from the keys they emit and the expected number of segme
 tell sets apart. Each set then probes only the fullest segments whose weights add up to more than
 its own H; a segment with few shingles has the longest list.
 
-Candidates are verified exactly on whole sets. Groups are never expanded into all pairs: first
+Candidates that sizes and parity bits leave possible are verified exactly on whole sets. Groups are never expanded into all pairs: first
 every key links its members to one leader; then, for keys whose members still lie in different
 components, only the pairs across components are compared. Pairs already connected need no test.
 """
@@ -290,9 +290,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
 
 
 def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts that occur in pairs, stored."""
-    node = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return store(docs.join(spread(node), "node", "left_semi"), "texts")
+    """The texts that occur in pairs, stored; the ids are stored first, so that Spark knows their size."""
+    node = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    return store(docs.join(node, "node", "left_semi"), "texts")
+
+
+def _possible(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that sizes (size, size2) and parity bits (bits, bits2) leave possible."""
+    both_sizes = F.col("size") + F.col("size2")
+    most = both_sizes - 2 * F.ceil(num * both_sizes / (num + den))
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(4)), F.lit(0))
+    return met.where((den * F.least("size", "size2") >= num * F.greatest("size", "size2")) & (differ <= most))
 
 
 def ngram_join(
@@ -321,12 +329,15 @@ def ngram_join(
     )
     groups = found.where(F.col("kind") == GROUP).select("key", "flag", F.col("a").alias("node"))
     copies = found.where(F.col("kind") == COPY).select("a", "b")
-    pairs = store(found.where(F.col("kind") == EDGE).select("a", "b").distinct(), "pairs")
+    bits = found.where((F.col("kind") == DOC) & (F.col("b") > 0)).select(F.col("a").alias("node"), F.col("b").alias("size"), "bits")
+    one = bits.withColumnRenamed("node", "a")
+    two = bits.select(F.col("node").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
+    edges = found.where(F.col("kind") == EDGE).select("a", "b").distinct()
+    pairs = store(_possible(edges.join(one, "a").join(two, "b"), num, den).select("a", "b").distinct(), "pairs")
     texts = _texts_of(pairs, binary)
     links = store(_linked(pairs, texts, n, num, den), "links")
     edges = copies.union(links)
     labels = connected_components(edges, "a", "b")
-    bits = found.where((F.col("kind") == DOC) & (F.col("b") > 0)).select(F.col("a").alias("node"), F.col("b").alias("size"), "bits")
     labels = _across(groups, labels, edges, pairs, bits, binary, (n, num, den))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     known = rows.join(spread(labels), rows.doc_id == labels.node, "left").select(
@@ -360,9 +371,9 @@ def _across(groups, labels, edges, tested, bits, docs, rule) -> DataFrame:
         )
         named = store(named, "named")
         ends = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        mixed = ends.where("x <> y").select("key")
-        mixed_rows = named.join(spread(mixed), "key", "left_semi")
-        open_ = store(mixed_rows.join(spread(bits), "node"), "open")
+        mixed = store(ends.where("x <> y").select("key"), "mixed")
+        mixed_rows = named.join(mixed, "key", "left_semi")
+        open_ = store(mixed_rows.join(bits, "node"), "open")
         sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
         per_key = sizes.groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("p"), F.sum("n").alias("n"))
         rows, pairs = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0.0))).first()
@@ -387,10 +398,7 @@ def _across(groups, labels, edges, tested, bits, docs, rule) -> DataFrame:
             x, y = F.col("flag"), F.col("flag2")
             both = lambda p, q: (p.bitwiseAND(INDEX) > 0) & (q.bitwiseAND(PROBE) > 0)
             met = met.where((x.bitwiseAND(DELETED) == 0) | (y.bitwiseAND(DELETED) == 0)).where(both(x, y) | both(y, x))
-            both_sizes = F.col("size") + F.col("size2")
-            most = both_sizes - 2 * F.ceil(num * both_sizes / (num + den))
-            differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(4)), F.lit(0))
-            met = met.where((den * F.least("size", "size2") >= num * F.greatest("size", "size2")) & (differ <= most))
+            met = _possible(met, num, den)
             pair = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
             pair = store(pair.join(tested, ["a", "b"], "left_anti"), "pairs")
             new_links.append(store(_linked(pair, _texts_of(pair, docs), *rule), "links"))
