@@ -7,6 +7,7 @@ weight 1 catches pairs that agree on it, one of weight 2 also pairs of which one
 shingle more (its one-deletion neighbourhood). If the weights add up to more than H, some segment
 catches the pair (Deng, Li, Wen and Feng, VLDB 2015). A set is indexed under its own band and
 probes its own and the next smaller band, so the larger set of a pair looks for the smaller one.
+H is not monotone, as it keeps the parity of s + t: a set takes the largest H of all its partners.
 
 Costs decide twice. Each band chooses how many segments of weight 1 and 2 it has, and how many
 units more than needed, from the keys they emit and the expected number of segments too small to
@@ -52,13 +53,24 @@ def most_different(s, t, num: int, den: int):
     return s + t - 2 * (-(-num * (s + t) // (num + den)))
 
 
+def _budget(s, low, high, num: int, den: int):
+    """One more than the largest difference of sets of size s and linked ones of low to min(s, high).
+
+    The difference keeps the parity of s + t and grows with t only within a parity, so the largest
+    partner and the one a shingle smaller are looked at, if the latter is in reach.
+    """
+    top = np.minimum(s, high)
+    less = (top - 1 >= low) & (den * (top - 1) >= num * s)
+    return 1 + np.maximum(most_different(s, top, num, den), np.where(less, most_different(s, top - 1, num, den), 0))
+
+
 @functools.cache
 def bands(up_to: int, num: int, den: int) -> tuple[np.ndarray, ...]:
     """Lower and upper size of each band, its segments, and how many of them have weight 2."""
     low, rows = 1, []
     while low <= up_to:
         high = low * den // num
-        need = most_different(high * den // num, high, num, den) + 1
+        need = int(_budget(np.arange(low, high * den // num + 1), low, high, num, den).max())
         rows.append((low, high, *_allocate(low, need)))
         low = high + 1
     return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True))
@@ -91,7 +103,7 @@ def _keys(tokens: np.ndarray, sizes: np.ndarray, ids: np.ndarray, num: int, den:
             continue
         d = np.flatnonzero(live)
         s, band, m = sizes[d], band[d], segments[band[d]]
-        need = most_different(s, np.minimum(s, highs[band]), num, den) + 1
+        need = _budget(s, lows[band], highs[band], num, den)
         base = np.cumsum(m) - m
         total = int(m.sum())
         keep = np.repeat(live, sizes)

@@ -79,6 +79,25 @@ def test_ngram_join_against_all_pairs(spark):
     assert ngram_join.ngram_join(docs_of(spark, "a").where("false")).count() == 0
 
 
+@pytest.mark.parametrize("num, den", [(85, 100), (4, 5)])
+def test_linked_sets_of_all_sizes_meet_in_a_key(num, den):
+    rng = np.random.default_rng(4)
+    lost = []
+    for s in range(1, 61):
+        for t in range(-(-num * s // den), s + 1):
+            common = -(-num * (s + t) // (num + den))
+            for least in (common, t) * 3:  # as different as linked sets can be, and nested sets
+                pool = rng.integers(1, 2**63, s + t, dtype=np.int64).astype(np.uint64)
+                x, y = np.sort(pool[:s]), np.sort(pool[s - least : s - least + t])
+                key, flag, node = ngram_join._keys(np.r_[x, y], np.array([s, t]), np.array([0, 1]), num, den)
+                sides = [{k: [] for k in key.tolist()} for _ in range(2)]
+                for k, f, i in zip(key.tolist(), flag.tolist(), node.tolist(), strict=True):
+                    sides[i][k].append(np.int8(f))
+                if not any(ngram_join._meets(f, g) for k in sides[0] for f in sides[0][k] for g in sides[1][k]):
+                    lost.append((s, t, least))
+    assert not lost
+
+
 def test_url_filter_against_sql(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/a?x#y", "http://example.com/en/b", "http://x.com", "http://a.net/fr/1", "http://b.net/en/", "ftp://c.org/é#"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls * 2)], "page_id bigint, url string, host string")
