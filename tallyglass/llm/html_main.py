@@ -43,6 +43,16 @@ _NOISE = re.compile(
     re.I,
 )
 _MAIN_TAGS = frozenset(("article", "main"))
+#: Tags whose names say nothing of a role: the whole page, and, in an article, what heads it.
+_PAGE_TAGS = frozenset(("html", "body", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+
+
+def _role_counts(tag: str, main: bool, stack: list[tuple]) -> bool:
+    """Whether classes and ids of the tag may make its branch noise; an article in an article may be a comment."""
+    if tag in _PAGE_TAGS or main and tag in _HEADINGS:
+        return False
+    return tag != "article" or any(x[0] == "article" for x in stack)
 
 
 def parse(page: str) -> list[tuple[str, bool, bool, str]]:
@@ -103,7 +113,7 @@ def parse(page: str) -> list[tuple[str, bool, bool, str]]:
                     break
         names = [" ".join(x for x in a.groups()[1:] if x) for a in _ATTRIBUTE.finditer(m.group(4))] if m.group(4) else []
         _, path, main, noise = stack[-1] if stack else ("", "", False, False)
-        noise = noise or tag in _NOISE_TAGS and not (tag == "header" and main) or any(_NOISE.search(x) for x in names)
+        noise = noise or tag in _NOISE_TAGS and not (tag == "header" and main) or any(_NOISE.search(x) for x in names) and _role_counts(tag, main, stack)
         style = ".".join([tag, *sorted(re.sub(r"\d+", "0", x) for x in names)])
         stack.append((tag, f"{path}/{style}" if tag not in _INLINE else path, main or tag in _MAIN_TAGS, noise))
     if last < len(page):
@@ -113,7 +123,7 @@ def parse(page: str) -> list[tuple[str, bool, bool, str]]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks; block -1 stands for the page itself."""
+    """Rows of blocks; block -1 stands for the page itself, its digest is that of the page's own blocks."""
     page = TaskContext.get().partitionId() << 40
     for batch in batches:
         rows: list[tuple] = []
@@ -124,7 +134,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = re.sub(r"^[^/]*://|[/?#].*$", "", url or "", flags=re.S).lower()
             blocks = parse(text)
             has = any(main and not noise for _, main, noise, _ in blocks)
-            rows.append((page, i, url, host, -1, "", 1, 0, ""))
+            # Pages that say the same in the same styles, noise left out, are one page for the tree.
+            own = [(path, block) for path, main, noise, block in blocks if not noise and (main or not has)]
+            copy = xxhash.xxh3_64_intdigest(repr(own).encode("utf-8", "surrogatepass")) - (1 << 63)
+            rows.append((page, i, url, host, -1, "", 1, copy, ""))
             for k, (path, main, noise, block) in enumerate(blocks):
                 role = 0 if noise or has and not main else 2 if main else 1
                 rows.append((page, i, url, host, k, path, role, xxhash.xxh3_64_intdigest(block) - (1 << 63), block if role else ""))
@@ -140,8 +153,12 @@ _DDL = "page bigint, page_id bigint, url string, host string, block int, path st
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
-    """(host, path, importance): the entropy of a style node's contents, as a share of the largest."""
-    said = blocks.where("block >= 0").groupBy("host", "path", "digest").agg(F.count("*").alias("n"))
+    """(host, path, importance): the entropy of a style node's contents, as a share of the largest.
+
+    Copies of a page count once, so that a page's text does not depend on their number.
+    """
+    first = blocks.where("block = -1").groupBy("host", "digest").agg(F.min("page").alias("page")).select("page")
+    said = blocks.where("block >= 0 and role > 0").join(first, "page", "left_semi").groupBy("host", "path", "digest").agg(F.count("*").alias("n"))
     node = said.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.log("all") - F.col("nlogn") / F.col("all")
     return node.select("host", "path", F.when(F.col("all") > 1, entropy / F.log("all")).otherwise(1.0).alias("importance"))

@@ -196,6 +196,22 @@ def test_html_main(spark):
     assert all(got[k][0] == f"Own text {k}" for k in range(3, 9))
 
 
+def main_texts(spark, *pages):
+    rows = [(k, url, page) for k, (url, page) in enumerate(pages)]
+    found = html_main.extract_main(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_html_main_of_copies_and_of_names_that_look_like_roles(spark):
+    page = "<div class=x><p>Own {}</p></div>"
+    copies = [("http://a/", page.format(1))] * 5 + [("http://a/", page.format(2))]
+    assert main_texts(spark, *copies) == ["Own 1"] * 5 + ["Own 2"]
+    named = ["<body class='has-sidebar'><p>Text", "<html class='nav-open'><body><p>Text", "<article class='review'><p>Text", "<main class='search'><p>Text"]
+    assert main_texts(spark, *((f"http://{k}/", x) for k, x in enumerate(named))) == ["Text"] * 4
+    post = "<article><header class='post-header'><h1 class='post-header'>Title</h1></header><p>Text</p><article class='comment'>me too</article></article>"
+    assert main_texts(spark, ("http://b/", post)) == ["Title\nText"]
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
