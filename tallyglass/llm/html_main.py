@@ -4,8 +4,8 @@ The pages of a host are merged into one tree of styles: a node is a path of tags
 classes. For each node the entropy of what its blocks say over the host's pages is its content
 importance (near 0: the same notice on every page; near 1: another text on each), and the role of
 its tags and classes its presentation importance (0 for menus, headers, footers, sidebars,
-notices, adverts, forms, comments). Branches of low importance are cut from each page. What stands
-in an article is kept unless its role says otherwise, as copies of an article are still its text.
+notices, adverts, forms, comments; most in an article, less beside one). A block stays if the
+product of both reaches LEAST_IMPORTANCE; all blocks are judged so, inside articles and outside.
 """
 
 from __future__ import annotations
@@ -20,10 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, store
+from .shared import store
 
-#: Importance below which a branch outside articles is cut.
+#: Importance below which a branch is cut.
 LEAST_IMPORTANCE = 0.5
+#: Roles of blocks, and their presentation importance.
+NOISE, PLAIN, ARTICLE, BESIDE = 0, 1, 2, 3
+PRESENTATION = {NOISE: 0.0, PLAIN: 1.0, ARTICLE: 2.0, BESIDE: 0.6}
+#: Blocks that a style node in an article must have on a host to be cut; two may be near copies.
+LEAST_BLOCKS = 3
 
 _RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|head"
 _MARK = re.compile(
@@ -139,7 +144,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             copy = xxhash.xxh3_64_intdigest(repr(own).encode("utf-8", "surrogatepass")) - (1 << 63)
             rows.append((page, i, url, host, -1, "", 1, copy, ""))
             for k, (path, main, noise, block) in enumerate(blocks):
-                role = 0 if noise or has and not main else 2 if main else 1
+                role = NOISE if noise else ARTICLE if main else BESIDE if has else PLAIN
                 rows.append((page, i, url, host, k, path, role, xxhash.xxh3_64_intdigest(block) - (1 << 63), block if role else ""))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
@@ -153,7 +158,7 @@ _DDL = "page bigint, page_id bigint, url string, host string, block int, path st
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
-    """(host, path, importance): the entropy of a style node's contents, as a share of the largest.
+    """(host, path, blocks, importance): the entropy of a style node's contents, as a share of the largest.
 
     Copies of a page count once, so that a page's text does not depend on their number.
     """
@@ -161,7 +166,7 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     said = blocks.where("block >= 0 and role > 0").join(first, "page", "left_semi").groupBy("host", "path", "digest").agg(F.count("*").alias("n"))
     node = said.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.log("all") - F.col("nlogn") / F.col("all")
-    return node.select("host", "path", F.when(F.col("all") > 1, entropy / F.log("all")).otherwise(1.0).alias("importance"))
+    return node.select("host", "path", F.col("all").alias("blocks"), F.when(F.col("all") > 1, entropy / F.log("all")).otherwise(1.0).alias("importance"))
 
 
 def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -173,11 +178,14 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     given = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].alias("url"), pages[html_col].cast("binary").alias("html"))
     blocks = store(given.mapInArrow(_blocks, _DDL), "blocks")
-    weights = style_tree(blocks)
-    sure = blocks.where("block = -1 or role = 2").select("page", "page_id", "url", "block", "text")
-    open_ = blocks.where("block >= 0 and role = 1").join(spread(weights), ["host", "path"])
-    kept = open_.where(F.col("importance") >= least).select("page", "page_id", "url", "block", "text")
+    role = F.explode(F.create_map(*(F.lit(x) for k, v in PRESENTATION.items() if k != NOISE for x in (k, v)))).alias("role", "presentation")
+    nodes = style_tree(blocks).select("*", role).where(F.col("importance") * F.col("presentation") < least)
+    # Stored, so that Spark knows whether the list is small.
+    cut = store(nodes.where((F.col("role") != ARTICLE) | (F.col("blocks") >= LEAST_BLOCKS)).select("host", "path", F.col("role").cast("tinyint")), "cut")
+    open_ = blocks.where("block >= 0 and role > 0").join(cut, ["host", "path", "role"], "left_anti")
+    itself = blocks.where("block = -1")
+    kept = itself.select("page", "page_id", "url", "block", "text").union(open_.select("page", "page_id", "url", "block", "text"))
     text = F.array_join(F.transform(F.filter(F.array_sort("parts"), lambda x: x["block"] >= 0), lambda x: x["text"]), "\n")
-    whole = sure.union(kept).groupBy("page", "page_id", "url").agg(F.collect_list(F.struct("block", "text")).alias("parts"))
+    whole = kept.groupBy("page", "page_id", "url").agg(F.collect_list(F.struct("block", "text")).alias("parts"))
     out = whole.select("page_id", "url", text.alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

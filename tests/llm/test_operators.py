@@ -212,6 +212,14 @@ def test_html_main_of_copies_and_of_names_that_look_like_roles(spark):
     assert main_texts(spark, ("http://b/", post)) == ["Title\nText"]
 
 
+def test_html_main_judges_blocks_in_and_beside_articles(spark):
+    page = "<div class=top>Site motto</div><article><p>Own {0}</p><div class=x1>Read on in our app</div></article><div class=more>Also own {0}</div>"
+    pages = [("http://a/", page.format(k)) for k in range(6)]
+    assert main_texts(spark, *pages) == [f"Own {k}\nAlso own {k}" for k in range(6)]
+    near = "<article><h1>Title {}</h1><p>The same text</p></article>"
+    assert main_texts(spark, *(("http://b/", near.format(k)) for k in range(2))) == [f"Title {k}\nThe same text" for k in range(2)]
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
