@@ -142,6 +142,37 @@ def test_licenses(spark):
     assert got[2] == got[3] == got[4] == (None, 0, "")
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licenses_of_whole_texts_and_wrapped_notices(spark):
+    header = "# Copyright 2020 Me\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"
+    docs = docs_of(spark, MIT, " ".join(MIT.split("\n\n", 2)[2].split()), header + "x = 1", "text\n\nReleased under\nthe MIT License.\n\nmore")
+    got = {r.doc_id: (r.license, r.n_lines, r.licenses) for r in licenses.scan_licenses(docs.where("doc_id is not null")).collect()}
+    assert got == {0: ("MIT", 0, "MIT"), 1: ("MIT", 0, "MIT"), 2: (None, 1, "Apache-2.0"), 3: (None, 1, "MIT")}
+
+
 def test_substring_dedup(spark):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(str(x) for x in rng.integers(10**6, 10**7, n))
