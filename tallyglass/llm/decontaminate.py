@@ -10,7 +10,8 @@ is kept of the suffix order; the occurrences in an interval are located by stepp
 text to such a position. Spans of all occurrences are merged for each document.
 
 The phrases are searched in blocks, so that what is sent to the tasks stays bounded whatever the
-size of the benchmark; a document is never shuffled.
+size of the benchmark. For more than one block the documents are stored once with a row number, by
+which the spans of the blocks are put together; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import store
+
 #: Words of one index, beyond which the task starts another; a longer document stands alone.
 SHARD = 1_000_000
 #: Distance of the text positions that an index keeps.
@@ -233,22 +236,23 @@ def find_contamination(
     (sorted ids of the items with a window there). Null, empty and wordless texts have no words and
     no spans; items without words or with a null id or text have no windows. Repeated items and
     documents are taken one by one. A benchmark of several blocks of PHRASES windows is searched
-    block by block; the spans of a document (by doc_id) are then merged once more. An empty
+    block by block; the spans of each row are then merged once more. An empty
     benchmark gives every document without spans. Other columns are not read.
     """
     given = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("binary"))
     ddl = "doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>"
-    found = []
-    for phrases, owners in _phrase_blocks(benchmark, item_col, item_text_col, window):
-        sent = docs.sparkSession.sparkContext.broadcast((phrases, owners))
-        found.append(given.mapInArrow(lambda it, sent=sent: _hits(it, *sent.value), ddl))
-    if not found:
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in _phrase_blocks(benchmark, item_col, item_text_col, window)]
+    if not sent:
         return given.mapInArrow(lambda it: _hits(it, [(b"",)], [[]]), ddl)
-    if len(found) == 1:
-        return found[0]
-    one = found[0]
-    for x in found[1:]:
-        one = one.union(x)
+    search = lambda rows, block: rows.mapInArrow(lambda it: _hits(it, *block.value), ddl)
+    if len(sent) == 1:
+        return search(given, sent[0])
+    # Ids may be null or repeated: each row is searched by its own number, stored so that it stays the same.
+    numbered = store(given.toDF("id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    one = search(numbered.select("row", "text"), sent[0])
+    for block in sent[1:]:
+        one = one.union(search(numbered.select("row", "text"), block))
+    one = one.withColumnRenamed("doc_id", "row")
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     joined = F.aggregate(
         spans,
@@ -257,7 +261,8 @@ def find_contamination(
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    merged = one.groupBy("doc_id", "n_words").agg(joined.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = one.groupBy("row", "n_words").agg(joined.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.join(numbered.select("row", F.col("id").alias("doc_id")), "row")
     return merged.select("doc_id", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
 
 

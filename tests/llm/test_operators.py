@@ -206,6 +206,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     assert decontaminate.cut_words(texts[0], [1], [12]) == "pre , post"
 
 
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_decontamination_takes_rows_of_one_id_or_none_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "PHRASES", block)
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "eta theta")], "item_id bigint, text string")
+    rows = [(7, "alpha beta x y"), (7, "x y gamma delta"), (7, "x y gamma delta"), (None, "x alpha beta y"), (None, "eta theta x y"), (8, None)]
+    found = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), bench)
+    got = sorted(((r.doc_id, r.n_words, r.starts, r.ends, r.items) for r in found.collect()), key=str)
+    want = [(7, 4, [0], [2], [1]), (7, 4, [2], [4], [2]), (7, 4, [2], [4], [2]), (None, 4, [1], [3], [1]), (None, 4, [0], [2], [3]), (8, 0, [], [], [])]
+    assert got == sorted(want, key=str)
+
+
 def test_bpe_against_the_library(spark):
     from tokenizers import Tokenizer
 
