@@ -11,9 +11,12 @@ from . import html_main as op9
 from . import licenses as op5
 from . import ngram_join as op1
 from . import quality as op3
+from . import resampling as op12
 from . import substring_dedup as op6
+from . import token_counts as op13
 from . import toxicity as op4
 from . import url_filter as op2
+from . import whitening as op11
 from .shared import read_table
 
 
@@ -67,6 +70,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened on their 32 leading principal components."""
+    return op11.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five documents in a hundred, drawn to be distributed as the benchmark is."""
+    return op12.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Number of tokens of all documents."""
+    return op13.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary or default_vocabulary())
+
+
 def default_vocabulary() -> str:
     """The byte-level vocabulary among the public tokenizers of this machine."""
     import public_tokenizers
@@ -74,5 +92,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_quality, op4_toxicity, op5_license_scan, op6_substring_dedup, op7_decontamination, op8_bpe, op9_html_main, op10_embedding_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_url_filter, op3_quality, op4_toxicity, op5_license_scan, op6_substring_dedup, op7_decontamination,
+        op8_bpe, op9_html_main, op10_embedding_dedup, op11_whitening, op12_importance_resampling, op13_token_counts,
+    )
+}
 ORACLE_SQL = {"op2_url_filter": op2.ORACLE, "op5_license_scan": op5.ORACLE}
