@@ -360,9 +360,9 @@ WITH spend AS (
          sum(FINAL_SALE)::DOUBLE AS amount
   FROM master LEFT JOIN bands ON year(USERID_BIRTH_DATE) BETWEEN first_year AND last_year
   WHERE BARCODE_CATEGORY_1 = 'Health & Wellness' GROUP BY GENERATION)
-SELECT GENERATION, floor(amount / sum(amount) OVER () * 1000000) / 1000000 AS GENERATION_PERCENTAGE_OF_TOTAL,
-       CASE WHEN GENERATION <> 'Unknown' THEN floor(amount / sum(amount) FILTER (GENERATION <> 'Unknown') OVER ()
-         * 1000000) / 1000000 END AS GENERATION_PERCENTAGE_OF_TOTAL_NoUnknown
+SELECT GENERATION, (floor(amount / sum(amount) OVER () * 1000000) / 1000000)::DECIMAL(38,6) AS GENERATION_PERCENTAGE_OF_TOTAL,
+       CASE WHEN GENERATION <> 'Unknown' THEN (floor(amount / sum(amount) FILTER (GENERATION <> 'Unknown') OVER ()
+         * 1000000) / 1000000)::DECIMAL(38,6) END AS GENERATION_PERCENTAGE_OF_TOTAL_NoUnknown
 FROM spend""",
     "scan_weeks": "SELECT DISTINCT week_no AS Week_of_Year FROM weeks",
     "scan_weeks_by_year": 'SELECT DISTINCT year(SCAN_DATE)::INTEGER AS "Year", week_no AS Week_of_Year FROM weeks',

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,15 @@ def with_generation(df: DataFrame, birth_date: str, name: str = "GENERATION") ->
 
 
 def cut_off(share: str | Column, places: int = 6) -> Column:
-    """Cut, not round, to a number of decimals: toward zero, so a negative share is cut alike."""
+    """Cut, not round, to a number of decimals: toward zero, so a negative share is cut alike.
+
+    The result is an exact decimal(38, places).
+    """
     scale = 10**places
     c = as_column(share)
-    return F.when(c < 0, F.ceil(c * scale)).otherwise(F.floor(c * scale)).cast("bigint") / scale
+    cut = F.when(c < 0, F.ceil(c * scale)).otherwise(F.floor(c * scale))
+    unit = F.lit(Decimal(1).scaleb(-places)).cast(f"decimal({places + 1},{places})")
+    return (cut.cast(f"decimal({37 - 2 * places},0)") * unit).cast(f"decimal(38,{places})")
 
 
 def share_of_total(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
 from ..sources.schemas import LINE_COLUMNS, PRODUCT_COLUMNS, USER_COLUMNS
+from ..sources.scratch import store
 from .ordering import add_row_id
 
-_SPREAD = "_spread"
+_SPREAD, _TIMES, _FIRST = "_spread", "_times", "_first"
 
 
 def key_overlap(
@@ -53,45 +56,72 @@ def _no_key(df: DataFrame, key: str) -> Column:
     return is_missing(key) if dict(df.dtypes)[key] == "string" else F.col(key).isNull()
 
 
-def _left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def _spread_key(left: DataFrame) -> Column:
+    """What deals out rows without a key: columns that stay text, as nearly every report reads them.
+
+    Casts would run for rows that no report asks for, and more columns would be read than used.
+    Lines alike in both (a blank receipt of one store) stay together; Spark splits such a group at
+    run time, as its right side is empty.
+    """
+    named = [c for c in ("RECEIPT_ID", "STORE_NAME") if c in left.columns]
+    receipt = F.xxhash64(named[0])
+    return F.when(is_missing(named[0]), F.xxhash64(*named)).otherwise(receipt) if len(named) > 1 else receipt
+
+
+def _left_join_spreading_nulls(
+    left: DataFrame, right: DataFrame, key: str, also: Sequence[str] = ()
+) -> DataFrame:
     """Left join in which rows without a key do not meet in one task.
 
     A shuffle join hashes all equal keys to one partition. A NULL or blank key names nobody and
     matches nothing, so a second join key may differ there: it is 0 where there is a key and a hash
-    of the whole row where there is none. A hot key with a value is left to Spark's splitting of
-    skewed partitions at run time.
+    of the receipt where there is none. A hot key with a value is left to Spark's splitting of
+    skewed partitions at run time. ``also`` names further join keys.
     """
     # pmod(.., 1) is always 0, yet not a constant the optimizer would move out of the join keys.
-    spread_left = F.when(_no_key(left, key), F.xxhash64(*left.columns)).otherwise(F.lit(0))
+    spread_left = F.when(_no_key(left, key), _spread_key(left)).otherwise(F.lit(0))
     spread_right = F.pmod(F.xxhash64(key), F.lit(1))
     return (
         left.withColumn(_SPREAD, spread_left.cast("bigint"))
         .join(
             right.where(~_no_key(right, key)).withColumn(_SPREAD, spread_right.cast("bigint")),
-            [key, _SPREAD],
+            [key, *also, _SPREAD],
             "left",
         )
         .drop(_SPREAD)
     )
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys on several rows and on how many: what a join on the key multiplies."""
+    counts = df.where(~_no_key(df, key)).groupBy(key).agg(F.count("*").alias(_TIMES))
+    return counts.where(F.col(_TIMES) > 1)
+
+
+def _places(df: DataFrame, repeats: DataFrame, key: str, place: str) -> DataFrame:
+    """Of each row on a repeated key its number (``row_id``) and place among the key's rows, from 0."""
+    rows = df.select(key, "row_id").join(repeats.select(key), key, "left_semi")
+    numbered = add_row_id(rows, [key, "row_id"], place, unique_order=True)
+    first = numbered.groupBy(key).agg(F.min(place).alias(_FIRST))
+    return store(numbered.join(first, key).select("row_id", (F.col(place) - F.col(_FIRST)).alias(place)), "places")
+
+
+def _users_of(users: DataFrame, *more: str) -> DataFrame:
+    return users.select("USER_ID", *[F.col(c).alias(f"USERID_{c}") for c in USER_COLUMNS], *more)
+
+
+def _products_of(products: DataFrame, *more: str) -> DataFrame:
+    return products.select("BARCODE", *[F.col(c).alias(f"BARCODE_{c}") for c in PRODUCT_COLUMNS], *more)
+
+
 def add_users(lines: DataFrame, users: DataFrame) -> DataFrame:
     """Receipt lines with the columns of their user, prefixed ``USERID_``."""
-    about = users.select("USER_ID", *[F.col(c).alias(f"USERID_{c}") for c in USER_COLUMNS])
-    return _left_join_spreading_nulls(lines, about, "USER_ID")
-
+    return _left_join_spreading_nulls(lines, _users_of(users), "USER_ID")
 
-def add_products(lines: DataFrame, products: DataFrame, number: str | None = None) -> DataFrame:
-    """Receipt lines with the columns of their product, prefixed ``BARCODE_``.
 
-    ``number`` names a column that takes the product's row number.
-    """
-    about = products.select(
-        "BARCODE",
-        *[F.col(c).alias(f"BARCODE_{c}") for c in PRODUCT_COLUMNS],
-        *([F.col("row_id").alias(number)] if number else []),
-    )
-    return _left_join_spreading_nulls(lines, about, "BARCODE")
+def add_products(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Receipt lines with the columns of their product, prefixed ``BARCODE_``."""
+    return _left_join_spreading_nulls(lines, _products_of(products), "BARCODE")
 
 
 def build_master(
@@ -101,14 +131,18 @@ def build_master(
 
     A barcode with two products gives two rows: nothing is removed, ``fanout_check`` shows them.
     If the transactions are numbered, their number is kept as ``DUPE_CHECK``. ``row_id`` numbers
-    the result too, in the order of the transaction columns; transaction number and product
-    number break ties, so the order is total and the sort spreads any group of equal lines.
+    the result too, in the order of the transaction columns; transaction number, product number
+    and user number break ties, so the order is total.
+
+    Numbers are given before the lines are widened. Only keys on several rows multiply lines: a
+    line of such a key is repeated once for each of its rows, with the place of that row. These
+    narrow lines are sorted, numbered and stored; users and products are then joined by key and
+    place, one row to a line, lazily. Runs the numbering job, nothing is sorted after the joins.
     """
     numbered = "row_id" in transactions.columns
     if row_id and not numbered:
         raise ValueError("numbering the master table needs numbered transactions and products")
     lines = transactions.withColumnRenamed("row_id", "DUPE_CHECK")
-    wide = add_products(add_users(lines, users), products, "_product" if row_id else None)
     columns = [
         *LINE_COLUMNS,
         *(["DUPE_CHECK"] if numbered else []),
@@ -116,12 +150,54 @@ def build_master(
         *[f"BARCODE_{c}" for c in PRODUCT_COLUMNS],
     ]
     if not row_id:
-        return wide.select(*columns)
-    order = [*LINE_COLUMNS, "DUPE_CHECK", "_product"]
-    return add_row_id(wide, order, "row_id", unique_order=True).select(*columns, "row_id")
+        return add_products(add_users(lines, users), products).select(*columns)
+    products, lines, by_product = _with_places(products, lines, "BARCODE", "_product")
+    users, lines, by_user = _with_places(users, lines, "USER_ID", "_user")
+    order = [*LINE_COLUMNS, "DUPE_CHECK", *by_product, *by_user]
+    rows = add_row_id(lines, order, "row_id", unique_order=True)
+    wide = _left_join_spreading_nulls(rows, _users_of(users, *by_user), "USER_ID", by_user)
+    wide = _left_join_spreading_nulls(wide, _products_of(products, *by_product), "BARCODE", by_product)
+    return wide.select(*columns, "row_id")
+
+
+def _with_places(
+    df: DataFrame, lines: DataFrame, key: str, place: str
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The right side with the place of each row among those of its key, and the lines repeated alike.
+
+    Where no key repeats both stay as they are, without a place.
+    """
+    repeats = store(repeated_keys(df, key), "repeats")
+    if repeats.isEmpty():
+        return df, lines, []
+    placed = df.join(_places(df, repeats, key, place), "row_id", "left")
+    copies = _left_join_spreading_nulls(lines, repeats, key).withColumn(
+        place, F.explode(F.sequence(F.lit(0), F.coalesce(_TIMES, F.lit(1)) - 1))
+    )
+    # Places are whole numbers on both sides, 0 for a key on one row.
+    return (
+        placed.withColumn(place, F.coalesce(place, F.lit(0)).cast("bigint")),
+        copies.withColumn(place, F.col(place).cast("bigint")).drop(_TIMES),
+        [place],
+    )
 
 
 def fanout_check(master: DataFrame, source_id: str = "DUPE_CHECK") -> DataFrame:
     """Source rows that became several rows, most first."""
     counts = master.groupBy(source_id).agg(F.count("*").alias("TotalRows"))
     return counts.where(F.col("TotalRows") > 1).orderBy(F.desc("TotalRows"), source_id)
+
+
+def expected_fanout(lines: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:
+    """The same from the keys alone: lines whose user or barcode stands on several rows.
+
+    Reads the number and the two keys of a line and counts keys; no wide row is made.
+    """
+    times = lines.select("USER_ID", "BARCODE", F.col("row_id").alias("DUPE_CHECK"))
+    both = []
+    for df, key in ((users, "USER_ID"), (products, "BARCODE")):
+        name = f"_times_{key}"
+        times = times.join(repeated_keys(df, key).withColumnRenamed(_TIMES, name), key, "left")
+        both.append(F.coalesce(name, F.lit(1)))
+    rows = times.select("DUPE_CHECK", (both[0] * both[1]).alias("TotalRows"))
+    return rows.where(F.col("TotalRows") > 1).orderBy(F.desc("TotalRows"), "DUPE_CHECK")

@@ -1,62 +1,118 @@
-"""The numbers a box plot draws: quartiles, whiskers, outliers. Exact at any size.
+"""The numbers a box plot draws: quartiles, whiskers, outliers. Exact at any size, and lazy.
 
-Spark's exact ``percentile`` gathers every distinct value in one task's memory. Here the values
-are counted, the counts summed in value order across partitions, and the quartiles read off.
+No value is sorted. A mergeable quantile sketch says between which two values each quartile lies;
+one counting pass then makes it exact: the rows below the bracket are counted, and only the
+different values inside it are put in order.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.casts import typed
-from .ordering import add_amount_before
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _REACH = 1.5  # whiskers reach at most this many quartile ranges beyond the box
+_LEAST_WIDTH = 4  # rows to either side of a quartile that a bracket must hold at least
+
 
+def _widths(accuracy: int) -> list[float]:
+    """Bracket half-widths as shares of the rows: twice the sketch's error, and wider for few rows."""
+    widths = [2 / accuracy]
+    while widths[-1] < 1:
+        widths.append(min(1.0, widths[-1] * 10))
+    return widths
 
-def _value_at(place: int) -> Column:
-    inside = (F.col("before") <= place) & (F.lit(place) < F.col("before") + F.col("n"))
-    return F.max(F.when(inside, F.col("value")))
 
+def _brackets(values: DataFrame, accuracy: int) -> Column:
+    """Number of values, and the ends of each quartile's bracket, as one struct. One pass.
 
-def _quartile(share: float, n: int) -> Column:
-    """Linear interpolation between the two values nearest to the place."""
-    place = (n - 1) * share
-    low, part = math.floor(place), place - math.floor(place)
-    return _value_at(low) + (_value_at(low + (part > 0)) - _value_at(low)) * part
+    All brackets that may be needed come from one sketch; the narrowest that holds enough rows is
+    taken, so tables of any size go the same way.
+    """
+    widths = _widths(accuracy)
+    # The last one takes all values and so is always wide enough.
+    shares = [[p for q in _QUARTILES.values() for p in (max(q - w, 0.0), min(q + w, 1.0))] for w in widths]
+    sketch = F.percentile_approx("value", [p for some in shares for p in some], accuracy)
+    facts = values.agg(F.count("*").alias("n"), sketch.alias("at"))
+    per_width = 2 * len(_QUARTILES)
+    choice = F.lit(len(widths) - 1)
+    for k in reversed(range(len(widths) - 1)):
+        choice = F.when(F.col("n") * widths[k] >= _LEAST_WIDTH, k).otherwise(choice)
+    ends = {
+        f"{name}_{end}": F.get("at", choice * per_width + 2 * k + j)
+        for k, name in enumerate(_QUARTILES)
+        for j, end in enumerate(("low", "high"))
+    }
+    return facts.select(F.struct("n", *[c.alias(name) for name, c in ends.items()]).alias("f")).scalar()
 
 
-def box_summary(df: DataFrame, column: str) -> DataFrame:
-    """One row: n, q1, median, q3, whisker ends and the number of rows beyond them. Runs jobs.
+def _exact_quartiles(values: DataFrame, counted: DataFrame, accuracy: int) -> Column:
+    """The quartiles by linear interpolation between the two nearest values, as one struct."""
+    f = _brackets(values, accuracy)
+    value, n = F.col("value"), F.col("n")
+    below = counted.agg(
+        F.struct(*[F.coalesce(F.sum(F.when(value < f[f"{q}_low"], n)), F.lit(0)).alias(q) for q in _QUARTILES]).alias("b")
+    ).scalar()
+    inside = [
+        F.when(value.between(f[f"{q}_low"], f[f"{q}_high"]), F.struct(F.lit(q).alias("q"), F.lit(share).alias("share"), below[q].alias("below")))
+        for q, share in _QUARTILES.items()
+    ]
+    near = counted.select("value", "n", F.explode(F.array_compact(F.array(*inside))).alias("in")).select("value", "n", "in.*")
+    # A window a quartile: the different values of its bracket, a fixed small share of the rows.
+    earlier = W.partitionBy("q").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    placed = near.withColumn("before", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    place = (f["n"] - 1) * F.col("share")
+    low, high = F.floor(place), F.ceil(place)
+
+    def value_at(k: Column) -> Column:
+        return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), value))
+
+    part = F.max(place - low)
+    found = placed.groupBy("q").agg((value_at(low) + (value_at(high) - value_at(low)) * part).alias("v"))
+    return found.agg(F.struct(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(q) for q in _QUARTILES]).alias("x")).scalar()
+
+
+def box_summary(df: DataFrame, column: str, accuracy: int = 10_000, approx: bool = False) -> DataFrame:
+    """One row: n, q1, median, q3, whisker ends and the number of rows beyond them. Lazy.
 
     A whisker ends at the last value within 1.5 quartile ranges of the box, or at the box if
-    there is none. Only single rows (the count, the quartiles) come to the driver.
+    there is none. ``accuracy`` sets the size of the sketch: a bracket holds at most 4 / accuracy of
+    the rows. ``approx`` takes the quartiles from the sketch as they are, with an error in rank
+    of at most 1 / accuracy, and saves the pass that makes them exact.
     """
-    counted = df.groupBy(typed(column, "double").alias("value")).agg(F.count("*").alias("n"))
-    values = add_amount_before(counted.where(F.col("value").isNotNull()), ["value"], "n", "before")
-    total = values.agg(F.sum("n")).first()[0] or 0
-    quartiles = [_quartile(share, max(total, 1)).alias(name) for name, share in _QUARTILES.items()]
-    box = values.agg(*quartiles).first().asDict()
-    drawn = {name: F.lit(value).cast("double") for name, value in box.items()}
-    reach = (drawn["q3"] - drawn["q1"]) * _REACH
-    floor, ceiling = drawn["q1"] - reach, drawn["q3"] + reach
+    values = df.select(typed(column, "double").alias("value")).where("value IS NOT NULL")
+    counted = values.groupBy("value").agg(F.count("*").alias("n"))
+    if approx:
+        sketch = F.percentile_approx("value", list(_QUARTILES.values()), accuracy)
+        found = values.agg(sketch.alias("at")).select(F.struct(*[F.get("at", F.lit(k)).alias(q) for k, q in enumerate(_QUARTILES)]).alias("x")).scalar()
+    else:
+        found = _exact_quartiles(values, counted, accuracy)
+    box = {q: found[q] for q in _QUARTILES}
+    reach = (box["q3"] - box["q1"]) * _REACH
+    floor, ceiling = box["q1"] - reach, box["q3"] + reach
     value, n = F.col("value"), F.col("n")
-    return values.agg(
-        F.lit(total).cast("bigint").alias("n"),
-        *[q.alias(name) for name, q in drawn.items()],
-        F.least(F.min(F.when(value >= floor, value)), drawn["q1"]).alias("whisker_low"),
-        F.greatest(F.max(F.when(value <= ceiling, value)), drawn["q3"]).alias("whisker_high"),
+    whole = counted.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
+        F.min(F.when(value >= floor, value)).alias("lowest"),
+        F.max(F.when(value <= ceiling, value)).alias("highest"),
         F.coalesce(F.sum(F.when(value < floor, n)), F.lit(0)).alias("low_outliers"),
         F.coalesce(F.sum(F.when(value > ceiling, n)), F.lit(0)).alias("high_outliers"),
     )
+    return whole.select(
+        "n",
+        *[q.alias(name) for name, q in box.items()],
+        F.least("lowest", box["q1"]).alias("whisker_low"),
+        F.greatest("highest", box["q3"]).alias("whisker_high"),
+        "low_outliers",
+        "high_outliers",
+    )
 
 
 def box_outliers(df: DataFrame, column: str, summary: DataFrame) -> DataFrame:
     """The rows beyond the whiskers of a ``box_summary`` of the same column."""
     value = typed(column, "double")
-    low, high = summary.select("whisker_low").scalar(), summary.select("whisker_high").scalar()
-    return df.where((value < low) | (value > high))
+    ends = summary.select(F.struct("whisker_low", "whisker_high").alias("ends")).scalar()
+    return df.where((value < ends["whisker_low"]) | (value > ends["whisker_high"]))

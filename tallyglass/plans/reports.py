@@ -302,19 +302,15 @@ PRODUCTS: dict[str, Report] = {
         t.raw_products, ["BARCODE", "MANUFACTURER", "BRAND", *CATEGORIES]
     ),
     "repeated_cast_barcodes": lambda t: keys.duplicate_keys(t.raw_products, _cast_barcode(), sort=True),
-    "conflicting_barcodes": lambda t: _conflicts(t),
+    "conflicting_barcodes": lambda t: t.barcode_conflicts,
     "conflicting_barcode_rows": lambda t: keys.review_conflicts(
-        t.raw_products, _conflicts(t), _cast_barcode()
+        t.raw_products, t.barcode_conflicts, _cast_barcode()
     ),
     "products_profile": lambda t: scan_profile(t.raw_products, types=PRODUCT_TYPES),
     "product_value_counts": lambda t: value_counts_of_columns(t.raw_products, t.raw_products.columns),
 }
 
 
-def _conflicts(t: RetailTables) -> DataFrame:
-    return keys.conflicting_keys(t.raw_products, _cast_barcode(), [*CATEGORIES, "MANUFACTURER", "BRAND"])
-
-
 INTEGRATION: dict[str, Report] = {
     "stage_transactions": lambda t: t.numbered_transactions,
     "stage_users": lambda t: t.numbered_users,
@@ -349,7 +345,7 @@ INTEGRATION: dict[str, Report] = {
         t.transactions, F.col("BARCODE").cast("string").like("161"), order_by="BARCODE"
     ),
     "master_table": lambda t: t.numbered_master,
-    "master_fanout": lambda t: master.fanout_check(t.traced_master),
+    "master_fanout": lambda t: t.fanout,
 }
 
 ANSWERS: dict[str, Report] = {

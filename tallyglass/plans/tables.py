@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..operators.master import add_products, add_users, build_master, key_overlap
+from ..functions.casts import typed
+from ..operators.keys import conflicting_keys
+from ..operators.master import add_products, add_users, build_master, expected_fanout, key_overlap
 from ..operators.staging import stage_products, stage_transactions, stage_users
 from ..sources import star_tables
 from ..sources.csv_files import read_raw_csv
 from ..sources.schemas import (
     MASTER,
+    PRODUCT_COLUMNS,
     RAW_PRODUCTS,
     RAW_TRANSACTION,
     RAW_USER,
@@ -21,7 +25,7 @@ from ..sources.schemas import (
     STAGE_TRANSACTION,
     STAGE_USER,
 )
-from ..sources.scratch import store
+from ..sources.scratch import scratch_scope, store
 from ..sources.stored import read_parquet, write_parquet
 
 Source = DataFrame | Callable[[], DataFrame]
@@ -32,6 +36,11 @@ class RetailTables:
 
     ``transactions``, ``users``, ``products`` and ``master`` are lazy and carry no row numbers, so
     a question that needs none never pays for a sort. The ``numbered_...`` tables add them.
+
+    Key overlaps and conflicting barcodes are intermediates that several reports ask for. Inside
+    ``with tables:`` the first use of one stores it and every later one reads what was stored; at
+    the end, or on ``close()``, they and all other scratch tables made inside are removed. Outside,
+    each report works them out for itself. ``save`` writes them beside the tables.
     """
 
     def __init__(
@@ -43,6 +52,39 @@ class RetailTables:
     ):
         self._sources = {"transactions": raw_transactions, "users": raw_users, "products": raw_products}
         self._read_from_files = read_from_files
+        self._kept: dict[str, DataFrame] = {}
+        self._life: ExitStack | None = None
+
+    def __enter__(self) -> RetailTables:
+        if self._life is None:
+            self._life = ExitStack()
+            self._life.enter_context(scratch_scope(SparkSession.active()))
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove what was stored since ``with`` began; derived tables are made anew after that."""
+        if self._life is None:
+            return
+        life, self._life = self._life, None
+        self._kept = {name: df for name, df in self._kept.items() if name in self._saved}
+        for name in [n for n in self.__dict__ if isinstance(getattr(type(self), n, None), cached_property)]:
+            if name not in self._saved:
+                del self.__dict__[name]
+        life.close()
+
+    #: Names of the tables that come from a folder and outlive a scope.
+    _saved: frozenset[str] = frozenset()
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The intermediate of that name: read if it is saved or stored, else stored or only planned."""
+        if name not in self._kept:
+            if self._life is None:
+                return make()
+            self._kept[name] = store(make(), name)
+        return self._kept[name]
 
     @classmethod
     def from_csv(
@@ -94,6 +136,8 @@ class RetailTables:
         tables.master = tables.traced_master.drop("DUPE_CHECK")
         # The stored table prunes unused columns itself; no join is left to leave out.
         tables.lines_with_users = tables.lines_with_products = tables.master
+        tables._kept = {name: read_parquet(spark, f"{folder}/{name}") for name in INTERMEDIATES}
+        tables._saved = frozenset([*tables._kept, *tables.__dict__])
         return tables
 
     def save(self, folder: str) -> RetailTables:
@@ -115,6 +159,10 @@ class RetailTables:
         users = written(raw.numbered_users, "users", STAGE_USER)
         products = written(raw.numbered_products, "products", STAGE_PRODUCTS)
         written(build_master(lines, users, products), "master", MASTER)
+        staged = RetailTables(raw.raw_transactions, raw.raw_users, raw.raw_products)
+        staged.transactions, staged.users, staged.products = lines, users, products
+        for name, make in INTERMEDIATES.items():
+            write_parquet(make(staged), f"{folder}/{name}")
         return RetailTables.from_folder(lines.sparkSession, folder)
 
     def _raw(self, name: str) -> DataFrame:
@@ -184,14 +232,33 @@ class RetailTables:
     def numbered_master(self) -> DataFrame:
         return build_master(self.numbered_transactions, self.users, self.numbered_products)
 
-    @cached_property
+    @property
+    def fanout(self) -> DataFrame:
+        """Transaction rows that the joins multiply, from the keys alone."""
+        return expected_fanout(self.numbered_transactions, self.users, self.products)
+
+    @property
     def user_overlap(self) -> DataFrame:
-        return key_overlap(
-            self.users, self.transactions, "USER_ID", "User_Table_Match", "Transaction_Table_Match"
-        )
+        return self.kept("user_overlap", lambda: INTERMEDIATES["user_overlap"](self))
 
-    @cached_property
+    @property
     def barcode_overlap(self) -> DataFrame:
-        return key_overlap(
-            self.products, self.transactions, "BARCODE", "Products_Table_Match", "Transaction_Table_Match"
-        )
+        return self.kept("barcode_overlap", lambda: INTERMEDIATES["barcode_overlap"](self))
+
+    @property
+    def barcode_conflicts(self) -> DataFrame:
+        return self.kept("barcode_conflicts", lambda: INTERMEDIATES["barcode_conflicts"](self))
+
+
+#: Intermediates that are kept for several reports, by the name of their table.
+INTERMEDIATES: dict[str, Callable[[RetailTables], DataFrame]] = {
+    "user_overlap": lambda t: key_overlap(
+        t.users, t.transactions, "USER_ID", "User_Table_Match", "Transaction_Table_Match"
+    ),
+    "barcode_overlap": lambda t: key_overlap(
+        t.products, t.transactions, "BARCODE", "Products_Table_Match", "Transaction_Table_Match"
+    ),
+    "barcode_conflicts": lambda t: conflicting_keys(
+        t.raw_products, typed("BARCODE", "bigint"), PRODUCT_COLUMNS
+    ),
+}

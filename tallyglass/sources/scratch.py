@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +13,10 @@ SHARED_DIR = "spark.checkpoint.dir"
 WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
+#: Paths written since the innermost open scope began.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tallyglass_scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else one beside the tables of the warehouse.
 
@@ -28,5 +35,30 @@ def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyglass/{name}-{uuid.uuid4().hex}"
+    written = _SCOPE.get()
+    if written is not None:
+        written.append(path)  # before the write, so that a failed one is removed too
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end every table that ``store`` wrote inside it, also after an error.
+
+    DataFrames that read those tables can't be used after that. Scopes nest: each removes its own.
+    """
+    written: list[str] = []
+    token = _SCOPE.set(written)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in written:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file systems, wherever it lies; none is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

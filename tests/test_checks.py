@@ -182,3 +182,31 @@ def test_box_summary_against_numpy(spark, numbers):
 def test_box_summary_of_nothing(table):
     row = outliers.box_summary(table("v", " ", None), "v").first()
     assert (row["n"], row["q1"], row["low_outliers"]) == (0, None, 0)
+
+
+def test_quartiles_are_made_exact_inside_the_brackets_of_a_coarse_sketch(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for numbers in (rng.normal(size=4000).round(3), np.r_[np.zeros(3000), rng.integers(0, 50, 999)], rng.exponential(size=5001)):
+        df = spark.createDataFrame([(repr(float(x)),) for x in numbers], "v string").repartition(7)
+        row = outliers.box_summary(df, "v", accuracy=50).first()
+        assert [row.q1, row.median, row.q3] == pytest.approx(list(np.percentile(numbers, [25, 50, 75])), rel=1e-12)
+        rough = outliers.box_summary(df, "v", accuracy=50, approx=True).first()
+        assert rough.n == len(numbers)
+        for q, share in ((rough.q1, 0.25), (rough.median, 0.5), (rough.q3, 0.75)):
+            assert np.mean(numbers < q) - 0.03 <= share <= np.mean(numbers <= q) + 0.03
+
+
+def test_a_box_runs_no_job_while_it_is_planned(spark):
+    df = spark.createDataFrame([("1",), ("2",)], "v string")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    spark.sparkContext.setJobGroup("box", "planning")
+    try:
+        box = outliers.box_summary(df, "v")
+        outliers.box_outliers(df, "v", box)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("box") and before is not None
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = box._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort " not in plan

@@ -124,6 +124,7 @@ def test_master_keeps_every_line_and_shows_fanout(raw):
         ("r4", None, None, None),
     ]
     assert values(master.fanout_check(wide)) == [(1, 2)]
+    assert values(master.expected_fanout(t, u, p)) == [(1, 2)]
     lean = master.build_master(t.drop("row_id"), u.drop("row_id"), p.drop("row_id"), row_id=False)
     assert values(lean) == values(wide.drop("row_id", "DUPE_CHECK"))
     with pytest.raises(ValueError):
@@ -156,3 +157,46 @@ def test_shuffle_join_gives_the_same_rows_with_hot_and_null_keys(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_lines_are_numbered_before_they_are_widened(spark, shuffled):
+    """Repeated barcodes and users, equal lines and hot keys: the same rows and order as a sort of the wide table."""
+    lines = spark.range(600).select(
+        *[F.concat(F.lit(c[0]), (F.col("id") % k).cast("string")).alias(c) for c, k in (("RECEIPT_ID", 90), ("STORE_NAME", 3))],
+        F.lit(None).cast("timestamp_ntz").alias("PURCHASE_DATE"),
+        F.lit(None).cast("timestamp_ntz").alias("SCAN_DATE"),
+        F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 == 1, " ").otherwise(F.concat(F.lit("u"), (F.col("id") % 13).cast("string"))).alias("USER_ID"),
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 31).cast("bigint").alias("BARCODE"),
+        F.lit(Decimal("1.00")).cast("decimal(15,2)").alias("FINAL_QUANTITY"),
+        F.lit(None).cast("decimal(15,2)").alias("FINAL_SALE"),
+        (F.col("id") + 1).alias("row_id"),
+    )
+    users = spark.range(20).select(
+        F.when(F.col("id") > 17, " ").otherwise(F.concat(F.lit("u"), (F.col("id") % 15).cast("string"))).alias("USER_ID"),
+        *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in PEOPLE.split()[1:]],
+        (F.col("id") + 1).alias("row_id"),
+    )
+    products = spark.range(60).select(
+        *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in GOODS.split()[:-1]],
+        F.when(F.col("id") > 55, None).when(F.col("id") % 5 == 0, 1).otherwise(F.col("id") % 20).cast("bigint").alias("BARCODE"),
+        (60 - F.col("id")).alias("row_id"),
+    )
+    setting = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for name in setting if shuffled else ():
+        spark.conf.set(name, "-1")
+    try:
+        ours = master.build_master(lines, users, products)
+        rows = [tuple(r) for r in ours.orderBy("row_id").collect()]
+        plan = ours._jdf.queryExecution().optimizedPlan().toString()
+        fanout = values(master.expected_fanout(lines, users, products))
+    finally:
+        for name in setting if shuffled else ():
+            spark.conf.unset(name)
+    named = users.where("trim(USER_ID) <> ''").select("USER_ID", F.col("row_id").alias("_u"), *[F.col(c).alias(f"USERID_{c}") for c in PEOPLE.split()[1:]])
+    goods = products.select("BARCODE", F.col("row_id").alias("_p"), *[F.col(c).alias(f"BARCODE_{c}") for c in GOODS.split()[:-1]])
+    wide = lines.withColumnRenamed("row_id", "DUPE_CHECK").join(named, "USER_ID", "left").join(goods, "BARCODE", "left")
+    plain = wide.orderBy(*LINES.split(), "DUPE_CHECK", "_p", "_u").select(*ours.columns[:-1]).collect()
+    assert rows == [(*r, k + 1) for k, r in enumerate(plain)]
+    assert "Sort " not in plan  # nothing is ordered once the lines are wide
+    assert fanout == values(master.fanout_check(ours))
