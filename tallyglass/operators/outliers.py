@@ -51,26 +51,28 @@ def _brackets(values: DataFrame, accuracy: int) -> Column:
 
 def _exact_quartiles(values: DataFrame, counted: DataFrame, accuracy: int) -> Column:
     """The quartiles by linear interpolation between the two nearest values, as one struct."""
-    f = _brackets(values, accuracy)
+    # Each subquery is a column of its own, so that the plan holds it once and not at every use.
+    framed = counted.withColumn("f", _brackets(values, accuracy))
     value, n = F.col("value"), F.col("n")
-    below = counted.agg(
-        F.struct(*[F.coalesce(F.sum(F.when(value < f[f"{q}_low"], n)), F.lit(0)).alias(q) for q in _QUARTILES]).alias("b")
-    ).scalar()
+    under = [F.coalesce(F.sum(F.when(value < F.col(f"f.{q}_low"), n)), F.lit(0)).alias(q) for q in _QUARTILES]
+    below = framed.agg(F.struct(*under).alias("b")).scalar()
     inside = [
-        F.when(value.between(f[f"{q}_low"], f[f"{q}_high"]), F.struct(F.lit(q).alias("q"), F.lit(share).alias("share"), below[q].alias("below")))
+        F.when(
+            value.between(F.col(f"f.{q}_low"), F.col(f"f.{q}_high")),
+            F.struct(F.lit(q).alias("q"), ((F.col("f.n") - 1) * share).alias("place"), F.col(f"b.{q}").alias("below")),
+        )
         for q, share in _QUARTILES.items()
     ]
-    near = counted.select("value", "n", F.explode(F.array_compact(F.array(*inside))).alias("in")).select("value", "n", "in.*")
+    near = framed.withColumn("b", below).select("value", "n", F.explode(F.array_compact(F.array(*inside))).alias("in"))
     # A window a quartile: the different values of its bracket, a fixed small share of the rows.
     earlier = W.partitionBy("q").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    placed = near.withColumn("before", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    place = (f["n"] - 1) * F.col("share")
-    low, high = F.floor(place), F.ceil(place)
+    placed = near.select("value", "n", "in.*").withColumn("before", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    low, high = F.floor("place"), F.ceil("place")
 
     def value_at(k: Column) -> Column:
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), value))
 
-    part = F.max(place - low)
+    part = F.max(F.col("place") - low)
     found = placed.groupBy("q").agg((value_at(low) + (value_at(high) - value_at(low)) * part).alias("v"))
     return found.agg(F.struct(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(q) for q in _QUARTILES]).alias("x")).scalar()
 
@@ -90,24 +92,17 @@ def box_summary(df: DataFrame, column: str, accuracy: int = 10_000, approx: bool
         found = values.agg(sketch.alias("at")).select(F.struct(*[F.get("at", F.lit(k)).alias(q) for k, q in enumerate(_QUARTILES)]).alias("x")).scalar()
     else:
         found = _exact_quartiles(values, counted, accuracy)
-    box = {q: found[q] for q in _QUARTILES}
-    reach = (box["q3"] - box["q1"]) * _REACH
-    floor, ceiling = box["q1"] - reach, box["q3"] + reach
+    reach = (F.col("x.q3") - F.col("x.q1")) * _REACH
     value, n = F.col("value"), F.col("n")
-    whole = counted.agg(
+    boxed = counted.withColumn("x", found).select("value", "n", "x.*", (F.col("x.q1") - reach).alias("floor"), (F.col("x.q3") + reach).alias("ceiling"))
+    q1, q3 = F.max("q1"), F.max("q3")
+    return boxed.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("n"),
-        F.min(F.when(value >= floor, value)).alias("lowest"),
-        F.max(F.when(value <= ceiling, value)).alias("highest"),
-        F.coalesce(F.sum(F.when(value < floor, n)), F.lit(0)).alias("low_outliers"),
-        F.coalesce(F.sum(F.when(value > ceiling, n)), F.lit(0)).alias("high_outliers"),
-    )
-    return whole.select(
-        "n",
-        *[q.alias(name) for name, q in box.items()],
-        F.least("lowest", box["q1"]).alias("whisker_low"),
-        F.greatest("highest", box["q3"]).alias("whisker_high"),
-        "low_outliers",
-        "high_outliers",
+        *[F.max(q).alias(q) for q in _QUARTILES],
+        F.least(F.min(F.when(value >= F.col("floor"), value)), q1).alias("whisker_low"),
+        F.greatest(F.max(F.when(value <= F.col("ceiling"), value)), q3).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(value < F.col("floor"), n)), F.lit(0)).alias("low_outliers"),
+        F.coalesce(F.sum(F.when(value > F.col("ceiling"), n)), F.lit(0)).alias("high_outliers"),
     )
 
 
