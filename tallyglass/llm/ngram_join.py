@@ -14,15 +14,18 @@ units more than needed, from the keys they emit and the expected number of segme
 tell sets apart. Each set then probes only the fullest segments whose weights add up to more than
 its own H; a segment with few shingles has the longest list.
 
-Candidates that sizes and parity bits leave possible are verified exactly on whole sets. Groups are never expanded into all pairs: first
-every key links its members to one leader; then, for keys whose members still lie in different
-components, only the pairs across components are compared. Pairs already connected need no test.
+Candidates that sizes and parity bits leave possible are verified exactly on whole sets. A set has
+about eight times as many parity bits as linked sets may differ in shingles, so nearly all that is left
+is linked. Groups are never expanded into all pairs: first every key links its members to one
+leader; then, for keys whose members still lie in different components, members are sorted by size and
+compared across components, as far as sizes allow, where they lie; only possible pairs leave the task.
+Members of a key beyond BLOCK are dealt into blocks that meet pair by pair. Pairs already connected
+need no test.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,10 @@ from .words import U64, mix, shingle_sets
 #: Rows of one key within a chunk above which the key is salted.
 HOT = 64
 SALTS = 64
-#: Cross-component pairs that one round may look at, as a multiple of the rows in open groups.
-PAIRS_PER_ROW = 200
+#: Members of a key that are compared in one place; more are dealt into blocks of about so many.
+BLOCK = 4096
+#: Parity bits for each shingle that linked sets may differ in, and the fewest and most of a set.
+BITS_PER_DIFFERENCE, LEAST_BITS, MOST_BITS = 8, 256, 1 << 16
 
 # Bits of a key row: the side of the index, the probing side, a one-deletion key, salted.
 INDEX, PROBE, DELETED, SALTED = 1, 2, 4, 8
@@ -149,16 +154,47 @@ def _rows(kind, key, flag, a, b, bits=None) -> pa.RecordBatch:
     )
 
 
-def _parity(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """256 bits of each set: each is the parity of the tokens that fall on it.
+def _bits_of(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many parity bits sets of these sizes have: a power of 2."""
+    differ = np.maximum(most_different(sizes, sizes * den // num, num, den), 1) * BITS_PER_DIFFERENCE
+    return np.clip(1 << np.ceil(np.log2(differ)).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def _parity(tokens: np.ndarray, sizes: np.ndarray, num: int, den: int) -> pa.Array:
+    """Bits of each set: each is the parity of the tokens that fall on it.
 
     A token that only one of two sets has turns one bit, so the sets differ in at least as many
-    tokens as their bits differ.
+    tokens as their bits differ. Halves of a longer vector, xored, give the shorter one.
     """
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    odd = np.bincount(of * 256 + (tokens >> U64(56)).astype(np.int64), minlength=256 * len(sizes)) & 1
-    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(sizes) + 1, 4), pa.int32()), pa.array(words))
+    bits = _bits_of(sizes, num, den)
+    begin = np.cumsum(bits) - bits
+    place = np.repeat(begin, sizes) + (tokens >> U64(32)).astype(np.int64) % np.repeat(bits, sizes)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(bits // 64)], pa.int32()), pa.array(words))
+
+
+def _differing(words: np.ndarray, begin: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the vectors of rows x and y differ, on the length of the shorter one."""
+    out = np.zeros(len(x), np.int64)
+    la, lb = length[x], length[y]
+    for both in np.unique(la << 32 | lb).tolist():
+        at = np.flatnonzero((la << 32 | lb) == both)
+        m, n = both >> 32, both & 0xFFFFFFFF
+        least = min(m, n)
+        for part in np.array_split(at, max(1, len(at) * max(m, n) >> 21)):
+            a, b = (
+                np.bitwise_xor.reduce(words[begin[rows[part]][:, None] + np.arange(k)].reshape(len(part), k // least, least), axis=1)
+                for rows, k in ((x, m), (y, n))
+            )
+            out[part] = np.bitwise_count((a ^ b).view(U64)).sum(axis=1)
+    return out
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all lists, and where each begins and how long it is."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(), offsets[:-1], np.diff(offsets)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 8 << 20):
@@ -183,7 +219,7 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
         given = np.array([i is not None for i in ids])
         node = np.array([i if i is not None else 0 for i in ids], np.int64)
         if given.any():  # spread by a hash of the id
-            bits = _parity(tokens[np.repeat(given, sizes)], sizes[given])
+            bits = _parity(tokens[np.repeat(given, sizes)], sizes[given], num, den)
             yield _rows(DOC, mix(node[given].view(U64)).view(np.int64), 0, node[given], sizes[given], bits)
         # Copies within the chunk stand behind the first of them.
         ends = np.cumsum(sizes)
@@ -307,12 +343,61 @@ def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return store(docs.join(node, "node", "left_semi"), "texts")
 
 
-def _possible(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that sizes (size, size2) and parity bits (bits, bits2) leave possible."""
-    both_sizes = F.col("size") + F.col("size2")
-    most = both_sizes - 2 * F.ceil(num * both_sizes / (num + den))
-    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(4)), F.lit(0))
-    return met.where((den * F.least("size", "size2") >= num * F.greatest("size", "size2")) & (differ <= most))
+def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, size, size2, bits, bits2) those that sizes and parity bits leave possible."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, s, t = (batch.column(k).to_numpy() for k in range(4))
+        words, begin, length = _lists(pa.concat_arrays([batch.column(4), batch.column(5)]))
+        near = np.flatnonzero(den * np.minimum(s, t) >= num * np.maximum(s, t))
+        differ = _differing(words, begin, length, near, near + len(a))
+        near = near[differ <= most_different(s, t, num, den)[near]]
+        yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Possible pairs across components among the members of each key and pair of blocks.
+
+    Rows (key, i, j, own, size, node, component, flag, bits), sorted by key, i, j and size: each is
+    held against the next one, the next but one and so on, until sizes lie too far apart.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.concat_batches([held, batch]) if held is not None else batch
+        key, i, j = (held.column(k).to_numpy() for k in range(3))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        if not len(new):
+            continue  # one group, of two blocks at most
+        yield from _compared(held.slice(0, int(new[-1])), num, den)
+        held = held.slice(int(new[-1]))
+    if held is not None:
+        yield from _compared(held, num, den)
+
+
+def _compared(rows: pa.RecordBatch, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    key, i, j, own, size, node, component, flag = (rows.column(k).to_numpy() for k in range(8))
+    words, begin, length = _lists(rows.column(8))
+    n, lag, live = len(key), 1, np.arange(len(key))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(live := live[live + lag < n]):
+        other = live + lag
+        same = (key[live] == key[other]) & (i[live] == i[other]) & (j[live] == j[other])
+        same &= den * size[live] >= num * size[other]
+        live, other = live[same], other[same]
+        meet = (component[live] != component[other]) & _meets(flag[live], flag[other])
+        meet &= (i[live] == j[live]) | (own[live] != own[other])
+        x, y = live[meet], other[meet]
+        possible = _differing(words, begin, length, x, y) <= most_different(size[x], size[y], num, den)
+        x, y = x[possible], y[possible]
+        if len(x):
+            found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
+        lag += 1
+    if found:
+        pair = np.unique(np.stack([np.concatenate(z) for z in zip(*found, strict=True)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
 def ngram_join(
@@ -345,7 +430,8 @@ def ngram_join(
     one = bits.withColumnRenamed("node", "a")
     two = bits.select(F.col("node").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
     edges = found.where(F.col("kind") == EDGE).select("a", "b").distinct()
-    pairs = store(_possible(edges.join(one, "a").join(two, "b"), num, den).select("a", "b").distinct(), "pairs")
+    sized = edges.join(one, "a").join(two, "b").select("a", "b", "size", "size2", "bits", "bits2")
+    pairs = store(sized.mapInArrow(lambda it: _possible(it, num, den), "a bigint, b bigint").distinct(), "pairs")
     texts = _texts_of(pairs, binary)
     links = store(_linked(pairs, texts, n, num, den), "links")
     edges = copies.union(links)
@@ -366,60 +452,20 @@ def _sizes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 
 
 def _across(groups, labels, edges, tested, bits, docs, rule) -> DataFrame:
-    """Labels after all candidate pairs across components are tested; see the module's text.
-
-    While such pairs outnumber PAIRS_PER_ROW times the rows of their keys, every key tests another
-    leader against its other components; this lowers the number, as components merge. What is
-    left is tested in as many parts as keep each part within that bound. Only pairs that sizes and
-    parity bits leave possible are verified.
-    """
+    """Labels after all possible pairs across components are tested; see the module's text."""
     _, num, den = rule
-    held = ("flag", "node", "component", "size", "bits")
-    before = None
-    turn = 0
-    while True:
-        named = groups.join(spread(labels), "node", "left").select(
-            "key", "flag", "node", F.coalesce("component", "node").alias("component")
-        )
-        named = store(named, "named")
-        ends = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        mixed = store(ends.where("x <> y").select("key"), "mixed")
-        mixed_rows = named.join(mixed, "key", "left_semi")
-        open_ = store(mixed_rows.join(bits, "node"), "open")
-        sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-        per_key = sizes.groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("p"), F.sum("n").alias("n"))
-        rows, pairs = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0.0))).first()
-        if not pairs:
-            return labels
-        limit = PAIRS_PER_ROW * max(rows, 100_000)
-        settled = pairs <= limit or (before is not None and pairs > 0.5 * before)
-        before = pairs
-        parts = math.ceil(pairs / limit) if settled else 1
-        new_links = []
-        for part in range(parts):
-            some = open_.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else open_
-            if settled:
-                other = some.select("key", *(F.col(c).alias(f"{c}2") for c in held))
-                met = some.join(other, "key").where("component < component2")
-            else:
-                turn += 1
-                pick = F.min_by(F.struct(*held), F.xxhash64("node", F.lit(turn))).alias("p")
-                lead = some.where(F.col("flag").bitwiseAND(DELETED) == 0).groupBy("key").agg(pick)
-                lead = lead.select("key", *(F.col(f"p.{c}").alias(f"{c}2") for c in held))
-                met = some.join(spread(lead), "key").where("component <> component2")
-            x, y = F.col("flag"), F.col("flag2")
-            both = lambda p, q: (p.bitwiseAND(INDEX) > 0) & (q.bitwiseAND(PROBE) > 0)
-            met = met.where((x.bitwiseAND(DELETED) == 0) | (y.bitwiseAND(DELETED) == 0)).where(both(x, y) | both(y, x))
-            met = _possible(met, num, den)
-            pair = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-            pair = store(pair.join(tested, ["a", "b"], "left_anti"), "pairs")
-            new_links.append(store(_linked(pair, _texts_of(pair, docs), *rule), "links"))
-            tested = tested.union(pair)
-        fresh = [x for x in new_links if not x.isEmpty()]
-        if settled and not fresh:
-            return labels
-        for x in fresh:
-            edges = edges.union(x)
-        labels = connected_components(edges, "a", "b")
-        if settled:
-            return labels
+    named = groups.join(spread(labels), "node", "left").select("key", "flag", "node", F.coalesce("component", "node").alias("component"))
+    named = store(named, "named")
+    ends = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    mixed = store(ends.where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    if mixed.isEmpty():
+        return labels
+    rows = named.join(mixed, "key").join(bits, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "size", "node", "component", "flag", "bits")
+    order = ["key", "i", "j"]
+    met = placed.repartition(F.xxhash64(*order)).sortWithinPartitions(*order, "size").mapInArrow(lambda it: _compare(it, num, den), "a bigint, b bigint")
+    pair = store(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = store(_linked(pair, _texts_of(pair, docs), *rule), "links")
+    return labels if links.isEmpty() else connected_components(edges.union(links), "a", "b")
