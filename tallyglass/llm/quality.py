@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, spread, store
+from .shared import held_out, labelled_sample, store
 
 FEATURES = (
     "chars", "words", "word_length", "upper", "digits", "symbols", "other_letters", "lines", "stops", "commas",
@@ -59,12 +59,16 @@ def describe(raw: bytes) -> list[float]:
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [describe(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "figures"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]], names=["doc_id", "figures", *batch.schema.names[2:]])
 
 
-def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    given = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("binary"))
-    return given.mapInArrow(_figures, "doc_id bigint, figures array<double>")
+def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    given = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("binary"), *(docs[c] for c in keep))
+    return given.mapInArrow(_figures, "doc_id bigint, figures array<double>" + _kept(docs, keep))
+
+
+def _kept(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
 
 @dataclass
@@ -172,25 +176,27 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores every document: doc_id, held_out, score (0 to 1), predicted (1 from threshold on).
 
-    Learns from the labelled rows that are not held out, TRAIN_ROWS of them at most (a bounded
-    sample by hash of the id). Null and empty texts are scored like any other, by zeros. Labels of
-    null or for unknown ids are passed over; if an id has several labels each counts. Without
-    labels of both kinds the score is the same for all. Rows are kept one by one, with null or
-    repeated ids too; other columns are not read.
+    Learns from the labelled ids that are not held out, TRAIN_ROWS of them at most (a bounded
+    sample by hash of the id; at equal hashes a class of ids is in or out as a whole). Null and
+    empty texts are scored like any other, by zeros. Labels of null or for unknown ids are passed
+    over; equal labels of an id count once; of rows that repeat an id one is learned from. Without
+    labels of both kinds (or any) the score is the same for all. Rows are kept one by one, with null
+    or repeated ids too; an empty table gives no rows. ``keep`` names columns to carry along; others
+    are not read.
     """
-    made = store(figures(docs, id_col, text_col), "figures")
-    known = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("double").alias("label")).where("label is not null")
-    joined = made.where(~held_out(F.col("doc_id"))).join(spread(known), "doc_id")
-    sample = joined.orderBy(F.xxhash64("doc_id"), "label").limit(TRAIN_ROWS).select("label", "figures").toPandas()
+    made = store(figures(docs, id_col, text_col, keep), "figures")
+    chosen = labelled_sample(labels, TRAIN_ROWS, id_col, label_col)
+    joined = made.select("doc_id", "figures").join(F.broadcast(chosen), "doc_id")  # a sample of a fixed size
+    sample = joined.groupBy("doc_id", "label").agg(F.min("figures").alias("figures")).toPandas().sort_values(["doc_id", "label"])
     model = fit(np.array(sample.figures.tolist(), np.float64).reshape(-1, len(FEATURES)), sample.label.to_numpy(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], names=["doc_id", "score", *keep])
 
-    scored = made.mapInArrow(run, "doc_id bigint, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = made.mapInArrow(run, "doc_id bigint, score double" + _kept(docs, keep))
+    return scored.select(*keep, "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -48,6 +48,57 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Row numbers of rows whose id does not name them alone begin here.
+OWN_ROWS = 1 << 62
+
+
+def row_ids(docs: DataFrame, id_col: str, name: str = "_row") -> DataFrame:
+    """The rows with a bigint column ``name`` that is never null and different for each row.
+
+    It is the id on one row of each id. Rows with a null id, and the other rows of an id, get
+    numbers above all ids, so that what goes by the order of ids takes them last. Only if there
+    are such rows the table is numbered and stored. Runs a job that counts ids.
+    """
+    key = docs[id_col].cast("bigint")
+    counted = docs.select(key.alias("_id")).groupBy("_id").agg(F.count("*").alias("n"))
+    if counted.where(F.col("_id").isNull() | (F.col("n") > 1) | (F.col("_id") >= OWN_ROWS)).isEmpty():
+        return docs.withColumn(name, key)
+    numbered = store(docs.withColumn("_n", F.monotonically_increasing_id()).withColumn("_key", key), "rows")
+    groups = numbered.where(F.col("_key") < OWN_ROWS).groupBy(F.col("_key").alias("_id")).agg(F.min("_n").alias("_first"), F.count("*").alias("_times"))
+    firsts = store(groups.where("_times > 1").select("_id", "_first"), "odd_ids")
+    marked = numbered.join(spread(firsts), numbered["_key"] == firsts["_id"], "left")
+    own = F.col("_key").isNull() | (F.col("_key") >= OWN_ROWS) | (F.col("_first") != F.col("_n"))
+    return marked.withColumn(name, F.when(own, F.col("_n") + OWN_ROWS).otherwise(F.col("_key"))).drop("_n", "_key", "_id", "_first")
+
+
+def labelled_sample(labels: DataFrame, most: int, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, label) of all learnable ids, or of at most ``most`` of them by a hash of the id.
+
+    Held-out ids and null labels are left out. An id has a row for label 0, one for label 1, or
+    both. Ids are taken in the order of their hash up to a cut that one count of hash classes finds,
+    so neither the driver nor a task ever holds more than the classes and the sample.
+    """
+    doc_id = labels[id_col].cast("bigint").alias("doc_id")
+    known = labels.select(doc_id, (labels[label_col].cast("double") > 0).cast("double").alias("label")).where("label is not null and doc_id is not null")
+    known = known.where(~held_out(F.col("doc_id"))).distinct()
+    hashed = known.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    ids = hashed.select("doc_id", "_h").distinct()
+    begin, taken = 0, 0
+    for bits in (47, 31, 15):  # classes of a class that is too large alone are looked into
+        here = ids.where((F.col("_h") >= begin) & (F.col("_h") <= begin + (1 << (bits + 16)) - 1))
+        counts = {r.c: r.n for r in here.groupBy(F.shiftright(F.col("_h") - begin, bits).alias("c")).agg(F.count("*").alias("n")).collect()}
+        for c in range(1 << 16):
+            if taken + counts.get(c, 0) > most:
+                break
+            taken += counts.get(c, 0)
+            begin += 1 << bits
+        else:
+            break
+        if taken > most // 2:
+            break
+    return store(hashed.where(F.col("_h") < begin).drop("_h") if begin < 1 << 63 else known, "sample")
+
+
 def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (u, v) with v < u, sorted: joins every u, and its other neighbours, to its lowest one."""
     last, low = None, 0  # of the node that the last batch ended in

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, spread, store
+from .shared import held_out, labelled_sample, store
 
 BUCKETS = 1 << 18
 #: Buckets that the model may use, the most telling ones.
@@ -163,16 +163,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, place: np.ndarray, terms: int) ->
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """Scores every document: doc_id, held_out, score (0 to 1), predicted (1 from threshold on).
 
-    Learns from the labelled rows that are not held out: which buckets tell something is counted
-    over all of them, weights are fitted to TRAIN_ROWS at most (by hash of the id). Null, empty and
+    Learns from the labelled ids that are not held out, TRAIN_ROWS of them at most (a bounded
+    sample by hash of the id; at equal hashes a class of ids is in or out as a whole): which buckets
+    tell something is counted over them, and weights are fitted to them. Null, empty and
     wordless texts have no terms and get the score of the constant. Null labels and unknown ids are
-    passed over; several labels of an id each count. Without labels of both kinds all scores are
-    equal. Rows are kept one by one, with null or repeated ids too; other columns are not read.
+    passed over; equal labels of an id count once; of rows that repeat an id one is learned from.
+    Without labels of both kinds (or any) all scores are equal. Rows are kept one by one, with null
+    or repeated ids too; an empty table gives no rows; other columns are not read.
     """
     given = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    known = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("double").alias("label")).where("label is not null")
-    train = given.where(~held_out(F.col("doc_id"))).join(spread(known.where(~held_out(F.col("doc_id")))), "doc_id").select("doc_id", "text", "label")
-    train = store(train.mapInArrow(_of_labelled, "doc_id bigint, terms binary, label double"), "terms")
+    # The sample is of a fixed size; the texts it names are made into terms where they are read.
+    chosen_ids = labelled_sample(labels, TRAIN_ROWS, id_col, label_col)
+    train = given.join(F.broadcast(chosen_ids), "doc_id").select("doc_id", "text", "label").mapInArrow(_of_labelled, "doc_id bigint, terms binary, label double")
+    train = store(train.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")), "terms")
     counts = train.select("terms", "label").mapInArrow(_counted, "bucket bigint, yes bigint, no bigint").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counted = counts.toPandas()  # a row for each bucket at most
     whole = counted[counted.bucket == -1]
@@ -187,9 +190,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(lambda at: at[at >= 0])(place[np.frombuffer(t, np.int32)]).astype(np.int32).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1)], names=["terms", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *batch.columns[1:]], names=["terms", "label", "doc_id"])
 
-    sample = train.orderBy(F.xxhash64("doc_id"), "label").limit(TRAIN_ROWS).select("terms", "label").mapInArrow(chosen, "terms binary, label double").toPandas()
+    sample = train.select("terms", "label", "doc_id").mapInArrow(chosen, "terms binary, label double, doc_id bigint").toPandas()
+    sample = sample.sort_values(["doc_id", "label"])  # files come in any order; the steps of the fit should not
     rows = [np.frombuffer(bytes(t), np.int32).astype(np.int64) for t in sample.terms]
     model = fit(rows, (sample.label.to_numpy(np.float64) > 0).astype(float), place, TERMS)
 
