@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, store
+from .shared import row_ids, spread, store
 from .words import U64, mix
 
 #: A cut after one of so many words on average, as a power of two.
@@ -161,20 +161,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Adds ``n_words_removed`` and ``spans`` (start and end of each removed run in UTF-8 bytes of
     the given text; such columns of the input are replaced). The first occurrence of a chunk, by
-    doc_id and place, stays; a repetition within one document counts as well. Texts of null stay
-    null; rows with a null id are kept untouched; rows that repeat a doc_id are taken as copies of
-    each other's places, so that of equal rows each stays whole. Empty tables give none.
+    doc_id and place, stays; a repetition within one document counts as well. Each row is taken on
+    its own: those with a null id, and all but one row of a repeated id, come after the others, so of
+    equal rows one keeps its text. Texts of null stay null. An empty table gives no rows.
     """
-    reserved = {"n_words_removed", "spans", "_id", "_at"}
+    reserved = {"n_words_removed", "spans", "_id", "_at", "_row"}
     rest = [c for c in docs.columns if c != text_col and c not in reserved]
-    given = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("binary"))
+    columns = docs.columns
+    docs = row_ids(docs, id_col)
+    given = docs.select("_row", docs[text_col].cast("binary"))
     ddl = "hi bigint, lo int, doc_id bigint, at bigint, again boolean"
     chunks = given.mapInArrow(_chunks, ddl).repartition("hi").sortWithinPartitions("hi", "lo", "doc_id", "at")
     again = chunks.mapInArrow(_repeated, "doc_id bigint, at bigint")
     per_doc = again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_at"))
     per_doc = store(per_doc, "repeats")
-    joined = docs.join(spread(per_doc), docs[id_col] == F.col("_id"), "left")
+    joined = docs.join(spread(per_doc), docs["_row"] == F.col("_id"), "left")
     out = joined.select(docs[text_col].cast("binary").alias("_text"), "_at", *(docs[c] for c in rest))
     ddl = ", ".join(["text string", "n_words_removed bigint", "spans array<bigint>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)])
     cut = out.mapInArrow(lambda it: _cut(it, min_words), ddl)
-    return cut.select(*(cut["text"].alias(text_col) if c == text_col else cut[c] for c in docs.columns if c not in reserved), "n_words_removed", "spans")
+    return cut.select(*(cut["text"].alias(text_col) if c == text_col else cut[c] for c in columns if c not in reserved), "n_words_removed", "spans")

@@ -8,11 +8,12 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyglass.llm import bpe, decontaminate, embedding_dedup, html_main, licenses, ngram_join, quality
 from tallyglass.llm import substring_dedup, toxicity, url_filter
 from tallyglass.llm.queries import default_vocabulary
-from tallyglass.llm.shared import connected_components
+from tallyglass.llm.shared import connected_components, held_out, labelled_sample, row_ids
 
 DOCS = "doc_id bigint, text string, label string, key string"
 
@@ -51,7 +52,9 @@ def test_components_of_hubs_and_chains(spark):
     assert rows_of(connected_components(edges, "a", "b"), "node", "component") == expected
 
 
-def test_ngram_join_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_ngram_join_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # 3: the members of a key are dealt into blocks
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(300)]
     texts: list = [None, "", "  \n", "one", "ONE", "one two", "a b c d e", "A b\tc d  e"]
@@ -178,7 +181,7 @@ def test_substring_dedup(spark):
     word = lambda n: " ".join(str(x) for x in rng.integers(10**6, 10**7, n))
     passage, own = word(80), [word(60) for _ in range(4)]
     docs = docs_of(spark, own[0] + " " + passage, own[1] + " x " + passage + " " + own[2], own[3], None, "")
-    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs.where("doc_id is not null")).collect()}
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     assert got[0].text == own[0] + " " + passage and got[2].text == own[3] and got[3].text is None and got[4].text == ""
     assert 55 <= got[1].n_words_removed <= 80 and got[1].text.startswith(own[1]) and got[1].text.endswith(own[2])
     begin, end = got[1].spans
@@ -280,3 +283,104 @@ def test_embeddings_against_all_pairs(spark):
         comp = new
     assert {i: got[i] for i in range(len(x))} == {i: (int(link[i].sum()) - 1, int(comp[i]), bool(comp[i] == i)) for i in range(len(x))}
     assert all(got[i] == (0, i, True) for i in range(900, 905)) and got[None][1] is None
+
+
+def test_parity_bits_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for num, den in ((85, 100), (4, 5)):
+        sets, sizes = [], []
+        for size in (1, 3, 40, 400, 3000):
+            for _ in range(6):
+                x = rng.integers(0, 1 << 63, size).astype(np.uint64)
+                y = np.r_[x[: max(1, size * num // den)], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, size // 20)))).astype(np.uint64)]
+                sets += [np.unique(x), np.unique(y)]
+        sizes = np.array([len(x) for x in sets])
+        words, begin, length = ngram_join._lists(ngram_join._parity(np.concatenate(sets), sizes, num, den))
+        a, b = np.arange(0, len(sets), 2), np.arange(1, len(sets), 2)
+        differ = ngram_join._differing(words, begin, length, a, b)
+        true = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+        assert (differ <= true).all()
+        assert (differ >= 0.6 * true - 2).all()  # and most of the difference shows
+
+
+def test_a_passage_of_all_documents_makes_no_candidates(spark):
+    """Documents alike in a long common passage only: what is compared by texts does not grow with their square."""
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{k}" for k in range(60))
+    fetched = []
+
+    def texts_of(pairs, docs, plain=ngram_join._texts_of):
+        out = plain(pairs, docs)
+        fetched[-1] += out.count()
+        return out
+
+    original, ngram_join._texts_of = ngram_join._texts_of, texts_of
+    try:
+        for n in (60, 240):
+            fetched.append(0)
+            texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 60)) for _ in range(n)]
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+            assert ngram_join.ngram_join(docs).where("component_id <> doc_id").count() == 0
+    finally:
+        ngram_join._texts_of = original
+    assert fetched[1] <= 4 * fetched[0] + 24
+
+
+def test_row_ids(spark):
+    rows = [(None, "a"), (None, "a"), (3, "b"), (3, "c"), (3, "b"), (5, "d"), (1 << 62, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = row_ids(docs, "doc_id").collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    assert len({r._row for r in got}) == 7 and [r._row for r in got if r.text == "d"] == [5]
+    assert sorted(r._row for r in got)[:2] == [3, 5] and sorted(r._row for r in got)[2] >= 1 << 62
+    plain = row_ids(docs.where("doc_id = 5"), "doc_id")
+    assert [tuple(r) for r in plain.collect()] == [(5, "d", 5)]
+    assert row_ids(docs.where("false"), "doc_id").count() == 0
+
+
+def test_labelled_sample(spark, monkeypatch):
+    n = 4000
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    odd = spark.createDataFrame([(None, 1), (0, 1), (0, 0), (0, None), (2, None)], "doc_id bigint, toxic bigint")
+    both = labels.union(labels).union(odd).repartition(5)
+    learnable = {r.doc_id for r in labels.where(~held_out(F.col("doc_id"))).collect()}
+    whole = [tuple(r) for r in labelled_sample(both, n, "doc_id", "toxic").collect()]
+    assert {i for i, _ in whole} == learnable and len(whole) == len(learnable) + (0 in learnable)
+    some = {r.doc_id for r in labelled_sample(both, 100, "doc_id", "toxic").collect()}
+    assert 50 <= len(some) <= 100 and some < learnable
+    again = {r.doc_id for r in labelled_sample(both.repartition(2), 100, "doc_id", "toxic").collect()}
+    assert some == again
+    assert labelled_sample(both.where("false"), 100, "doc_id", "toxic").count() == 0
+
+
+def test_toxicity_and_quality_with_odd_labels(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, 12)) + (" vile slur" * 3 if k % 2 else "") for k in range(60)]
+    docs = docs_of(spark, *texts)
+    labels = [(k, k % 2, k % 2) for k in range(60)] + [(None, 1, 1), (4, None, None), (999, 1, 0), (5, 1, 1), (5, 1, 1)]
+    made = spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int")
+    for classify in (toxicity.classify, quality.classify):
+        first = rows_of(classify(docs, made), "doc_id", "score")
+        assert len(first) == 62 and first == rows_of(classify(docs.repartition(5), made.repartition(4)), "doc_id", "score")
+        assert all(0 <= s <= 1 for _, s in first)
+        none = classify(docs, made.where("false"))
+        assert len({s for _, s in rows_of(none, "doc_id", "score")}) == 1
+        assert classify(docs.where("false"), made).count() == 0
+
+
+def test_substring_dedup_takes_each_row_on_its_own(spark):
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 1 << 30, n))
+    passage, own = say(120), [say(80) for _ in range(3)]
+    rows = [(1, f"{own[0]} {passage}"), (7, f"{own[1]} {passage}"), (7, "short and different"), (None, f"{passage} {own[2]}"), (None, f"{passage} {own[2]}"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id bigint, text string, spans string").repartition(3)
+    got = substring_dedup.dedup_substrings(docs).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.text) for r in got}
+    assert (1, rows[0][1]) in by and (7, "short and different") in by and (2, None) in by and (3, "") in by
+    cut = [r for r in got if r.doc_id == 7 and r.n_words_removed]
+    assert len(cut) == 1 and cut[0].text.startswith(own[1]) and cut[0].n_words_removed > 80
+    nameless = sorted(len((r.text or "").split()) for r in got if r.doc_id is None)
+    assert nameless[0] < 30 and 70 < nameless[1] < 130  # of two equal rows one keeps its own part
+    assert substring_dedup.dedup_substrings(docs.where("false")).count() == 0

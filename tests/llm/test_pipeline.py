@@ -45,3 +45,26 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    """Ids that are null or stand on several rows, with equal and with different texts."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    say = lambda n: " ".join("".join(rng.choice(letters, int(rng.integers(2, 9)))) for _ in range(n))
+    clean = {k: say(120) for k in range(0, 160, 2)}
+    spam = {k: "BUY!! " * (10 + k) for k in range(1, 160, 2)}
+    copied, other, third, item = say(110), say(115), say(130), say(14)
+    odd = [(None, copied), (None, copied), (900, copied), (900, copied), (901, other), (901, third), (None, f"{say(60)} {item} {say(60)}"), (902, f"{item} {say(90)}"), (902, "BUY!! " * 40), (None, "BUY!! " * 50), (None, None)]
+    rows = [(k, t) for k, t in [*clean.items(), *spam.items(), *odd]]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.range(160).select(F.col("id").alias("doc_id"), ((F.col("id") + 1) % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.decoded) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(t == copied for _, t in got) == 1
+    assert (901, other) in got and (901, third) in got
+    assert not any("BUY" in t or item in t for _, t in got)
+    assert all((k, t) in got for k, t in clean.items())
+    assert sorted(str(k) for k, t in got if k not in clean and t != copied) == ["901", "901", "902", "None"]
