@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyglass.llm import bpe, decontaminate, quality
 from tallyglass.llm.ngram_join import ngram_join
 from tallyglass.llm.queries import default_vocabulary
-from tallyglass.llm.shared import read_table, ship, spread, store
+from tallyglass.llm.shared import read_table, row_ids, ship, spread, store
 from tallyglass.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,17 +16,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier accepts; documents of null go with the empty ones."""
-    scored = quality.classify(docs, read_table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(spread(rejected), "doc_id", "left_anti").select(COLUMNS)
+    rows = row_ids(docs, "doc_id")
+    scored = quality.classify(rows, read_table(spark, sf_dir, "labels"), keep=("_row",))
+    rejected = scored.where("predicted = 0").select("_row")
+    return rows.join(spread(rejected), "_row", "left_anti").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8."""
+    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8.
+
+    Of rows with one id, or none, each is a document of its own; one with an id goes before them.
+    """
     ship(spark)
-    linked = ngram_join(docs, n=5, num=4, den=5)
-    copies = linked.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(spread(copies), "doc_id", "left_anti").select(COLUMNS)
+    rows = row_ids(docs, "doc_id")
+    linked = ngram_join(rows, id_col="_row", n=5, num=4, den=5)
+    copies = linked.where("component_id < doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(spread(copies), "_row", "left_anti").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words of benchmark windows; n_chars follows the text."""
-    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")).where("size(starts) > 0")
-    spans = found.select("doc_id", "starts", "ends").dropDuplicates(["doc_id"])
-    joined = docs.join(spread(spans), "doc_id", "left").select("text", "starts", "ends", "doc_id", "lang", "source", "n_chars")
+    rows = row_ids(docs, "doc_id")
+    found = decontaminate.find_contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col="_row").where("size(starts) > 0")
+    spans = found.select(F.col("doc_id").alias("_row"), "starts", "ends")
+    joined = rows.join(spread(spans), "_row", "left").select("text", "starts", "ends", "doc_id", "lang", "source", "n_chars")
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("text", "doc_id", "lang", "source", "n_chars"))
     cut = joined.mapInArrow(decontaminate.cut_batches, kinds)
     return cut.withColumn("n_chars", _chars(cut)).select(COLUMNS)
