@@ -265,6 +265,42 @@ def test_html_main_judges_blocks_in_and_beside_articles(spark):
     assert main_texts(spark, *(("http://b/", near.format(k)) for k in range(2))) == [f"Title {k}\nThe same text" for k in range(2)]
 
 
+def test_html_main_cleans_neutral_names_by_entropy_alone(spark):
+    """Menus, notices and adverts that no name gives away; the same with the tree switched off shows what it does."""
+    say = lambda k, n: " ".join(f"{w}{k}" for w in ("river", "stone", "window", "garden", "letter", "market", "winter")[:n])
+    page = (
+        "<div class=k1><ul class=k2><li>Home</li><li>News {3}</li><li>Contact</li></ul></div><div class=k3><p>We use small files to make this site work for you</p></div>"
+        "<article><h1>{0}</h1><p>{1}</p><div class=k4>Buy two and pay for one at our shop</div><p>{2}</p></article><div class=k5><span>All rights kept</span></div>"
+    )
+    pages = [(f"http://a/{k}", page.format(say(k, 3), say(k, 7), say(-k, 6), "" if k % 2 else "today")) for k in range(12)]
+    expected = [f"{say(k, 3)}\n{say(k, 7)}\n{say(-k, 6)}" for k in range(12)]
+    assert main_texts(spark, *pages) == expected
+    plain = [(u, p.replace("article", "section")) for u, p in pages]
+    assert main_texts(spark, *plain) == expected
+    rows = spark.createDataFrame([(1, *pages[0])], "page_id bigint, url string, html string")
+    assert "Home" in html_main.extract_main(rows, least=0.0).first().text  # the names alone cut nothing here
+
+
+def test_html_main_keeps_names_that_are_about_something(spark):
+    named = "<article><section class='search-algorithms'><p>One</p></section><p id='share-prices'>Two</p><p class='noticeBoardHistory'>Three</p><div class='share-buttons'>no</div><div id='commentList'>no</div><p class='ad'>no</p></article>"
+    assert main_texts(spark, ("http://a/", named)) == ["One\nTwo\nThree"]
+
+
+def test_html_main_of_pages_that_differ_in_a_date(spark):
+    long = "The council met again and spoke for a long time about the bridge, the school and the price of water in the valley."
+    for page in ("<p class=d>2024-05-{:02}</p><p>" + long + "</p>", "<article><p class=d>2024-05-{:02}</p><p>" + long + "</p></article>"):
+        pages = [(f"http://a/{k}", page.format(k)) for k in range(1, 9)]
+        assert main_texts(spark, *pages) == [f"2024-05-{k:02}\n{long}" for k in range(1, 9)]
+
+
+def test_html_main_of_odd_rows(spark):
+    rows = [(None, "http://a/1", "<p>Text"), (4, "http://a/2", "<p>Other"), (4, "http://a/2", "<p>Other"), (5, None, None), (6, "no scheme", "")]
+    docs = spark.createDataFrame([(*r, "mine", "yours") for r in rows], "page_id bigint, url string, html string, text string, page string")
+    got = rows_of(html_main.extract_main(docs), "page_id", "text", "n_chars")
+    assert got == sorted([(None, "Text", 4), (4, "Other", 5), (4, "Other", 5), (5, "", 0), (6, "", 0)], key=str)
+    assert html_main.extract_main(docs.where("false")).count() == 0
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
