@@ -177,7 +177,9 @@ def _hits(batches: Iterator[pa.RecordBatch], phrases: list[tuple[bytes, ...]], o
     for tags, parts in _shards(batches, vocabulary):
         counts = [len(part) for part in parts]
         sep = np.zeros(1, np.int32)
-        whole = np.concatenate([x for part in parts for x in (sep, part)])
+        # A separator ends the sequence too: the index takes it as a circle, and only where no two
+        # separators meet do the steps back from row to row keep the order of the suffixes.
+        whole = np.concatenate([*(x for part in parts for x in (sep, part)), sep])
         # No phrase goes over a word of none: such words are separators, and one in a row will do.
         used = (whole != 0) | np.r_[True, whole[:-1] != 0]
         place = np.flatnonzero(used)

@@ -420,3 +420,26 @@ def test_substring_dedup_takes_each_row_on_its_own(spark):
     nameless = sorted(len((r.text or "").split()) for r in got if r.doc_id is None)
     assert nameless[0] < 30 and 70 < nameless[1] < 130  # of two equal rows one keeps its own part
     assert substring_dedup.dedup_substrings(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("shard", [1, 40, 10_000])
+def test_decontamination_of_texts_that_end_in_phrase_words(spark, monkeypatch, shard):
+    """Few words, so that texts, shards and phrases end alike; each shard's places against brute force."""
+    monkeypatch.setattr(decontaminate, "SHARD", shard)
+    rng = np.random.default_rng(shard)
+    words = list("abcde")
+    texts = [" ".join(rng.choice([*words, "zz"], int(rng.integers(0, 30)))) for _ in range(120)]
+    items = [" ".join(rng.choice(words, int(rng.integers(1, 7)))) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for r in decontaminate.find_contamination(docs, bench, window=4).collect():
+        w = texts[r.doc_id].split()
+        hit, owners = set(), set()
+        for k, item in enumerate(items):
+            x = item.split()
+            for p in [x[i : i + 4] for i in range(max(1, len(x) - 3))]:
+                for i in range(len(w) - len(p) + 1):
+                    if w[i : i + len(p)] == p:
+                        hit |= set(range(i, i + len(p)))
+                        owners.add(k)
+        assert {i for a, b in zip(r.starts, r.ends, strict=True) for i in range(a, b)} == hit and r.items == sorted(owners)
