@@ -136,6 +136,19 @@ count(*) FILTER ({beyond_ascii(c)}) AS non_ascii, {fails} AS cast_failures FROM
     return "\nUNION ALL\n".join(parts)
 
 
+def findings(table: str, checks) -> str:
+    """Each check with a GROUP BY of its own: name, keys, counted value or None, rule."""
+    parts = []
+    for name, by, value, rule in checks:
+        text = " || ' | ' || ".join(f"coalesce(({k})::VARCHAR, '-')" for k in by)
+        unique = f"count(DISTINCT {value})" if value else "NULL::BIGINT"
+        parts.append(
+            f"""SELECT '{name}' AS "check", any_value({text}) AS keys, count(*) AS TotalRows,
+{unique} AS UniqueValues FROM {table} GROUP BY {names(by)} HAVING {rule}"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
 QUANTITY, SALE = f"try_cast(FINAL_QUANTITY AS {DEC})", f"try_cast(nullif(trim(FINAL_SALE), '') AS {DEC})"
 NO_BARCODE = blank("BARCODE")
 BOTH_DATES = ["PURCHASE_DATE", "SCAN_DATE"]
@@ -188,10 +201,39 @@ SQL: dict[str, str] = {
     "transactions_preview": first_rows(T, LINE),
     "users_preview": first_rows(U, USER),
     "products_preview": first_rows(P, PRODUCT),
+    "load_totals": "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS "table", {len(columns)}::INTEGER AS TotalColumns, count(*) AS TotalRows,
+count(*) FILTER (contains({columns[-1]}, ',')) AS CommasInLast, {amount}::DECIMAL(38,10) AS ControlTotal,
+{bad}::BIGINT AS UnreadableAmounts FROM {table}"""
+        for name, table, columns, amount, bad in (
+            ("transactions", T, LINE, "sum(try_cast(nullif(trim(FINAL_SALE), '') AS DECIMAL(30,10)))", "0"),
+            ("users", U, USER, "NULL", "NULL"),
+            ("products", P, PRODUCT, "sum(try_cast(nullif(trim(BARCODE), '') AS DECIMAL(30,10)))", "0"),
+        )
+    ),
     "transactions_any_rows": f"SELECT least(count(*), 100) AS TotalRows, least(count(*), 100) AS FoundRows FROM {T}",
     "scan_dates": f"SELECT SCAN_DATE FROM {T}",
     # transactions
     "transactions_missing_counts": gaps_in_fields(T, LINE),
+    "transaction_group_checks": findings(
+        T,
+        [
+            ("repeated_rows", LINE, None, "count(*) > 1"),
+            ("receipt_purchase_dates", ["RECEIPT_ID"], "PURCHASE_DATE", "UniqueValues <> 1"),
+            ("receipt_scan_dates", ["RECEIPT_ID"], "SCAN_DATE", "UniqueValues <> 1"),
+            ("receipt_users", ["RECEIPT_ID"], "USER_ID", "UniqueValues <> 1"),
+            ("receipt_barcodes", ["RECEIPT_ID"], "nullif(trim(BARCODE), '')", "UniqueValues > 1"),
+            (
+                "receipt_repeats_barcode",
+                ["RECEIPT_ID"],
+                "coalesce(nullif(trim(BARCODE), ''), '0')",
+                "UniqueValues <> count(*)",
+            ),
+            ("store_barcode_lengths", ["STORE_NAME"], "length(rtrim(BARCODE))", "UniqueValues > 1"),
+            ("user_receipts", ["USER_ID"], "RECEIPT_ID", "true"),
+            ("barcode_lengths", ["length(rtrim(BARCODE))"], None, "true"),
+        ],
+    ),
     "receipt_id_lengths": lengths(T, "RECEIPT_ID"),
     "receipt_line_counts": counts(T, "RECEIPT_ID"),
     "receipt_lookup": rows(T, "RECEIPT_ID = 'R000000000007'"),
@@ -327,6 +369,18 @@ FROM {P} GROUP BY ALL""",
     "conflicting_barcode_rows": (
         f"SELECT {P}.*, CAST_BARCODE, TotalRows FROM {P} JOIN ({CONFLICTS}) ON {CAST_BARCODE} = CAST_BARCODE"
     ),
+    "product_group_checks": findings(
+        P,
+        [
+            ("repeated_barcodes", ["BARCODE"], None, "count(*) > 1"),
+            ("repeated_cast_barcodes", [CAST_BARCODE], None, "count(*) > 1"),
+            ("repeated_barcode_maker_brand", ["BARCODE", "MANUFACTURER", "BRAND"], None, "count(*) > 1"),
+            ("brand_makers", ["BRAND"], "MANUFACTURER", "true"),
+            ("brands_of_many_makers", ["BRAND"], "MANUFACTURER", "UniqueValues > 1"),
+            ("maker_barcode_lengths", ["MANUFACTURER", "BRAND"], "length(rtrim(BARCODE))", "UniqueValues > 1"),
+            *[(f"rows_by_{c.lower()}", [c], None, "true") for c in CATEGORIES],
+        ],
+    ),
     "products_profile": profile(P, PRODUCT, dict(BARCODE="BIGINT")),
     "product_value_counts": "\nUNION ALL\n".join(
         f'SELECT \'{c}\' AS "column", {c} AS "value", count(*) AS TotalRows FROM {P} GROUP BY {c}'

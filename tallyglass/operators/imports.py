@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import strict_cast
-from ..functions.text import as_column, null_if_blank
+from ..functions.casts import strict_cast, typed
+from ..functions.text import as_column, is_missing, null_if_blank
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -49,3 +49,23 @@ def preview(
     if order_by:
         rows = rows.orderBy(*[as_column(c) for c in order_by])
     return rows.limit(n)
+
+
+def load_measures(df: DataFrame, amount: str | None = None) -> list[Column]:
+    """Aggregates that say whether a file came in whole: rows, commas in the last column, a total.
+
+    ``ControlTotal`` adds the ``amount`` column, blanks counting as 0; ``UnreadableAmounts`` counts
+    what is neither blank nor a number, so that a load is measured and not stopped by it. The same
+    measures can be asked of a table or be observed while it is written.
+    """
+    total, unreadable = F.lit(None).cast("decimal(38,10)"), F.lit(None).cast("bigint")
+    if amount is not None:
+        read = typed(amount, "decimal(30,10)")
+        total = F.coalesce(F.sum(read), F.lit(0)).cast("decimal(38,10)")
+        unreadable = F.count_if(~is_missing(amount) & read.isNull())
+    return [
+        F.count("*").alias("TotalRows"),
+        F.count_if(F.coalesce(F.col(df.columns[-1]).contains(","), F.lit(False))).alias("CommasInLast"),
+        (F.max(total) if amount is None else total).alias("ControlTotal"),
+        (F.max(unreadable) if amount is None else unreadable).alias("UnreadableAmounts"),
+    ]

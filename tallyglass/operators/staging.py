@@ -6,9 +6,9 @@ the casts are applied when that layout is read, so the sort moves each value onc
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import strict_cast, typed
@@ -38,6 +38,13 @@ TRANSACTION_TYPES = {
 USER_TYPES = {"CREATED_DATE": "timestamp_ntz", "BIRTH_DATE": "timestamp_ntz"}
 PRODUCT_TYPES = {"BARCODE": "bigint"}
 
+# Order of the row numbers, by the first column of the raw table.
+_ORDER = {
+    "RECEIPT_ID": RAW_TRANSACTION.fieldNames(),
+    "ID": ["ID"],
+    "CATEGORY_1": ["BARCODE", *(n for n in RAW_PRODUCTS.fieldNames() if n != "BARCODE")],
+}
+
 
 def _readable_text(column: str) -> Column:
     """The text that gets cast: known words replaced, nothing else changed."""
@@ -81,7 +88,7 @@ def _accepted(raw: DataFrame, types: Mapping[str, str], on_error: str, date_form
 
 def _numbered(raw: DataFrame, order_by: Sequence[str], row_id: bool) -> tuple[DataFrame, list[str]]:
     if not row_id:
-        return raw, []
+        return raw, [c for c in ("row_id",) if c in raw.columns]
     return add_row_id(raw, order_by, "row_id"), ["row_id"]
 
 
@@ -95,7 +102,7 @@ def stage_transactions(
     With ``row_id`` this runs the numbering job; without it the result stays lazy.
     """
     raw = _accepted(raw, TRANSACTION_TYPES, on_error, date_format)
-    rows, extra = _numbered(raw, RAW_TRANSACTION.fieldNames(), row_id)
+    rows, extra = _numbered(raw, _ORDER["RECEIPT_ID"], row_id)
     cast = _casts(TRANSACTION_TYPES, on_error, date_format)
     return rows.select(
         F.trim("RECEIPT_ID").alias("RECEIPT_ID"),
@@ -115,7 +122,7 @@ def stage_users(
 ) -> DataFrame:
     """Typed users under ``USER_ID``, gender spellings unified, numbered in ID order."""
     raw = _accepted(raw, USER_TYPES, on_error, date_format)
-    rows, extra = _numbered(raw, ["ID"], row_id)
+    rows, extra = _numbered(raw, _ORDER["ID"], row_id)
     cast = _casts(USER_TYPES, on_error, date_format)
     return rows.select(
         F.trim("ID").alias("USER_ID"),
@@ -131,8 +138,7 @@ def stage_users(
 def stage_products(raw: DataFrame, on_error: str = "fail", row_id: bool = True) -> DataFrame:
     """Typed products. Blank text and unreviewed categories become NULL."""
     raw = _accepted(raw, PRODUCT_TYPES, on_error, None)
-    names = RAW_PRODUCTS.fieldNames()
-    rows, extra = _numbered(raw, ["BARCODE", *(n for n in names if n != "BARCODE")], row_id)
+    rows, extra = _numbered(raw, _ORDER["CATEGORY_1"], row_id)
     return rows.select(
         F.trim(recode("CATEGORY_1", UNREVIEWED_CATEGORY)).alias("CATEGORY_1"),
         *[
@@ -142,3 +148,17 @@ def stage_products(raw: DataFrame, on_error: str = "fail", row_id: bool = True)
         _casts(PRODUCT_TYPES, on_error, None)["BARCODE"],
         *extra,
     )
+
+
+def preview_staged(raw: DataFrame, stage: Callable[..., DataFrame], n: int = 100) -> DataFrame:
+    """The first ``n`` staged rows with their numbers, without staging the rest.
+
+    Row numbers follow the raw text, so the first ``n`` raw rows in that order are chosen, a heap
+    of ``n`` rows per task, and only these are numbered (by a window over ``n`` rows) and cast.
+    ``stage`` is one of the ``stage_...`` functions. Nothing is stored. Rows that tie in the order
+    (users are numbered by ID alone) may be numbered the other way round in the whole table.
+    """
+    order = _ORDER[raw.columns[0]]
+    first = raw.orderBy(*order).limit(n)
+    number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    return stage(first.withColumn("row_id", number), row_id=False).orderBy("row_id")

@@ -12,9 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import typed
-from ..functions.text import fold_case, is_missing, text_length
+from ..functions.text import clean_text, fold_case, is_missing, text_length
 from ..operators import analytics, dates, imports, keys, master, missing, outliers, values
-from ..operators.staging import PRODUCT_TYPES, TRANSACTION_TYPES, USER_TYPES, rejected_rows, stage_transactions
+from ..operators.staging import (
+    PRODUCT_TYPES,
+    TRANSACTION_TYPES,
+    USER_TYPES,
+    preview_staged,
+    rejected_rows,
+    stage_products,
+    stage_transactions,
+    stage_users,
+)
+from ..sources.schemas import LINE_COLUMNS
+from .group_checks import GroupCheck, run_group_checks
 from .profile import scan_profile, value_counts_of_columns
 from .tables import RetailTables
 
@@ -32,6 +43,39 @@ def _cast_barcode():
     return typed("BARCODE", "bigint").alias("CAST_BARCODE")
 
 
+def _group_findings(df: DataFrame, checks: Callable[[], list[GroupCheck]]) -> DataFrame:
+    """The findings with their keys in one text; a NULL among them reads as a dash."""
+    return run_group_checks(df, checks()).withColumn("keys", F.array_join("keys", " | ", "-"))
+
+
+def _transaction_group_checks() -> list[GroupCheck]:
+    return [
+        GroupCheck("repeated_rows", LINE_COLUMNS, rule="repeated"),
+        GroupCheck("receipt_purchase_dates", "RECEIPT_ID", "PURCHASE_DATE", "not_one"),
+        GroupCheck("receipt_scan_dates", "RECEIPT_ID", "SCAN_DATE", "not_one"),
+        GroupCheck("receipt_users", "RECEIPT_ID", "USER_ID", "not_one"),
+        GroupCheck("receipt_barcodes", "RECEIPT_ID", clean_text("BARCODE"), "many"),
+        GroupCheck(
+            "receipt_repeats_barcode", "RECEIPT_ID", F.coalesce(clean_text("BARCODE"), F.lit("0")), "not_rows"
+        ),
+        GroupCheck("store_barcode_lengths", "STORE_NAME", text_length("BARCODE"), "many"),
+        GroupCheck("user_receipts", "USER_ID", "RECEIPT_ID"),
+        GroupCheck("barcode_lengths", text_length("BARCODE")),
+    ]
+
+
+def _product_group_checks() -> list[GroupCheck]:
+    return [
+        GroupCheck("repeated_barcodes", "BARCODE", rule="repeated"),
+        GroupCheck("repeated_cast_barcodes", _cast_barcode(), rule="repeated"),
+        GroupCheck("repeated_barcode_maker_brand", ["BARCODE", "MANUFACTURER", "BRAND"], rule="repeated"),
+        GroupCheck("brand_makers", "BRAND", "MANUFACTURER"),
+        GroupCheck("brands_of_many_makers", "BRAND", "MANUFACTURER", "many"),
+        GroupCheck("maker_barcode_lengths", ["MANUFACTURER", "BRAND"], text_length("BARCODE"), "many"),
+        *[GroupCheck(f"rows_by_{c.lower()}", c) for c in CATEGORIES],
+    ]
+
+
 IMPORT: dict[str, Report] = {
     "transactions_row_count": lambda t: imports.row_count(t.raw_transactions),
     "users_row_count": lambda t: imports.row_count(t.raw_users),
@@ -49,6 +93,7 @@ IMPORT: dict[str, Report] = {
     ),
     "users_preview": lambda t: imports.preview(t.raw_users, order_by=t.raw_users.columns),
     "products_preview": lambda t: imports.preview(t.raw_products, order_by=t.raw_products.columns),
+    "load_totals": lambda t: t.load_totals,
     "transactions_any_rows": lambda t: _any_rows(t.raw_transactions),
     "scan_dates": lambda t: t.raw_transactions.select("SCAN_DATE"),
 }
@@ -64,6 +109,7 @@ def _any_rows(df: DataFrame) -> DataFrame:
 
 TRANSACTIONS: dict[str, Report] = {
     "transactions_missing_counts": lambda t: missing.missing_counts(t.raw_transactions),
+    "transaction_group_checks": lambda t: _group_findings(t.raw_transactions, _transaction_group_checks),
     "receipt_id_lengths": lambda t: values.length_profile(t.raw_transactions, "RECEIPT_ID"),
     "receipt_line_counts": lambda t: values.value_counts(t.raw_transactions, "RECEIPT_ID"),
     "receipt_lookup": lambda t: values.lookup(t.raw_transactions, F.col("RECEIPT_ID") == "R000000000007"),
@@ -306,6 +352,7 @@ PRODUCTS: dict[str, Report] = {
     "conflicting_barcode_rows": lambda t: keys.review_conflicts(
         t.raw_products, t.barcode_conflicts, _cast_barcode()
     ),
+    "product_group_checks": lambda t: _group_findings(t.raw_products, _product_group_checks),
     "products_profile": lambda t: scan_profile(t.raw_products, types=PRODUCT_TYPES),
     "product_value_counts": lambda t: value_counts_of_columns(t.raw_products, t.raw_products.columns),
 }
@@ -322,9 +369,9 @@ INTEGRATION: dict[str, Report] = {
     "rejected_transactions": lambda t: rejected_rows(t.raw_transactions, TRANSACTION_TYPES).withColumn(
         "cast_errors", F.concat_ws(", ", "cast_errors")
     ),
-    "stage_transactions_preview": lambda t: imports.preview(t.numbered_transactions, order_by=["row_id"]),
-    "stage_users_preview": lambda t: imports.preview(t.numbered_users, order_by=["row_id"]),
-    "stage_products_preview": lambda t: imports.preview(t.numbered_products, order_by=["row_id"]),
+    "stage_transactions_preview": lambda t: preview_staged(t.raw_transactions, stage_transactions),
+    "stage_users_preview": lambda t: preview_staged(t.raw_users, stage_users),
+    "stage_products_preview": lambda t: preview_staged(t.raw_products, stage_products),
     "user_overlap": lambda t: t.user_overlap,
     "user_overlap_summary": lambda t: master.overlap_summary(t.user_overlap),
     "user_ids_in_both": lambda t: master.overlap_examples(t.user_overlap, True, True),

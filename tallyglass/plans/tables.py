@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import ExitStack
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.casts import typed
+from ..operators.imports import load_measures
 from ..operators.keys import conflicting_keys
 from ..operators.master import add_products, add_users, build_master, expected_fanout, key_overlap
 from ..operators.staging import stage_products, stage_transactions, stage_users
@@ -137,6 +139,7 @@ class RetailTables:
         # The stored table prunes unused columns itself; no join is left to leave out.
         tables.lines_with_users = tables.lines_with_products = tables.master
         tables._kept = {name: read_parquet(spark, f"{folder}/{name}") for name in INTERMEDIATES}
+        tables._kept["load_totals"] = saved("load_totals", LOAD_TOTALS)
         tables._saved = frozenset([*tables._kept, *tables.__dict__])
         return tables
 
@@ -150,11 +153,24 @@ class RetailTables:
             write_parquet(df, f"{folder}/{name}")
             return read_parquet(df.sparkSession, f"{folder}/{name}", schema)
 
+        measured = []
+
+        def loaded(name: str, schema: StructType) -> DataFrame:
+            # Measured by the tasks that write, whose work counts once for each partition, so the
+            # totals are those of the files that were read.
+            seen = Observation()
+            df = self._raw(name)
+            out = written(df.observe(seen, *load_measures(df, CONTROL_COLUMNS[name])), f"raw_{name}", schema)
+            measured.append((name, len(df.columns), *[seen.get[c] for c in LOAD_TOTALS.fieldNames()[2:]]))
+            return out
+
         raw = RetailTables(
-            written(self.raw_transactions, "raw_transactions", RAW_TRANSACTION),
-            written(self.raw_users, "raw_users", RAW_USER),
-            written(self.raw_products, "raw_products", RAW_PRODUCTS),
+            loaded("transactions", RAW_TRANSACTION),
+            loaded("users", RAW_USER),
+            loaded("products", RAW_PRODUCTS),
         )
+        spark = raw.raw_users.sparkSession
+        write_parquet(spark.createDataFrame(measured, LOAD_TOTALS).coalesce(1), f"{folder}/load_totals")
         lines = written(raw.numbered_transactions, "transactions", STAGE_TRANSACTION)
         users = written(raw.numbered_users, "users", STAGE_USER)
         products = written(raw.numbered_products, "products", STAGE_PRODUCTS)
@@ -237,6 +253,27 @@ class RetailTables:
         """Transaction rows that the joins multiply, from the keys alone."""
         return expected_fanout(self.numbered_transactions, self.users, self.products)
 
+    @property
+    def load_totals(self) -> DataFrame:
+        """Rows, columns, control total and stray commas of each raw table.
+
+        ``save`` takes them while it writes and keeps them, so a saved folder answers without
+        a scan; otherwise each raw table is aggregated once.
+        """
+        return self.kept("load_totals", self._count_load_totals)
+
+    def _count_load_totals(self) -> DataFrame:
+        parts = []
+        for name, amount in CONTROL_COLUMNS.items():
+            raw = getattr(self, f"raw_{name}")
+            counted = raw.agg(*load_measures(raw, amount))
+            parts.append(
+                counted.select(
+                    F.lit(name).alias("table"), F.lit(len(raw.columns)).alias("TotalColumns"), *counted.columns
+                )
+            )
+        return reduce(DataFrame.unionByName, parts)
+
     @property
     def user_overlap(self) -> DataFrame:
         return self.kept("user_overlap", lambda: INTERMEDIATES["user_overlap"](self))
@@ -250,6 +287,20 @@ class RetailTables:
         return self.kept("barcode_conflicts", lambda: INTERMEDIATES["barcode_conflicts"](self))
 
 
+#: The numeric column of each raw table whose sum is compared with the source file.
+CONTROL_COLUMNS: dict[str, str | None] = {"transactions": "FINAL_SALE", "users": None, "products": "BARCODE"}
+
+LOAD_TOTALS = StructType(
+    [
+        StructField("table", StringType()),
+        StructField("TotalColumns", IntegerType()),
+        StructField("TotalRows", LongType()),
+        StructField("CommasInLast", LongType()),
+        StructField("ControlTotal", DecimalType(38, 10)),
+        StructField("UnreadableAmounts", LongType()),
+    ]
+)
+
 #: Intermediates that are kept for several reports, by the name of their table.
 INTERMEDIATES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "user_overlap": lambda t: key_overlap(
