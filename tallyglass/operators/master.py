@@ -12,7 +12,10 @@ from ..sources.schemas import LINE_COLUMNS, PRODUCT_COLUMNS, USER_COLUMNS
 from ..sources.scratch import store
 from .ordering import add_row_id
 
-_SPREAD, _TIMES, _FIRST = "_spread", "_times", "_first"
+_SPREAD, _TIMES, _FIRST, _PARTS = "_spread", "_times", "_first", "_parts"
+
+#: Into how many pieces an even share of a hot key is cut; more pieces lie more evenly in hash partitions.
+PIECES = 8
 
 
 def key_overlap(
@@ -68,28 +71,53 @@ def _spread_key(left: DataFrame) -> Column:
     return F.when(is_missing(named[0]), F.xxhash64(*named)).otherwise(receipt) if len(named) > 1 else receipt
 
 
-def _left_join_spreading_nulls(
-    left: DataFrame, right: DataFrame, key: str, also: Sequence[str] = ()
+def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Keys with more rows than an even share of a shuffle, and into how many parts to cut each.
+
+    ``partitions`` is the number of shuffle partitions, that of the session if not given. Fewer keys
+    than partitions can hold more than an even share each, so the result is small at every size.
+    """
+    ways = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(~_no_key(df, key)).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    shares = F.col("_n") * ways / total
+    return counts.where(shares > 1).select(key, F.ceil(shares * PIECES).cast("int").alias(_PARTS))
+
+
+def spread_lines(left: DataFrame, key: str, hot: DataFrame | None = None, number: str = "row_id") -> DataFrame:
+    """The left side with a second join key, ``_spread``, that deals out the lines of one key.
+
+    It is a hash of the receipt for lines without a key, the line's ``number`` modulo the parts for
+    keys that ``hot_keys`` lists, and 0 for all others.
+    """
+    # pmod(.., 1) is always 0, yet not a constant the optimizer would move out of the join keys.
+    part = F.pmod(F.xxhash64(key), F.lit(1))
+    if hot is not None:
+        left = left.join(F.broadcast(hot), key, "left")  # fewer rows than partitions
+        part = F.when(F.col(_PARTS).isNotNull(), F.pmod(number, _PARTS)).otherwise(part)
+    return left.withColumn(
+        _SPREAD, F.when(_no_key(left, key), _spread_key(left)).otherwise(part).cast("bigint")
+    ).drop(_PARTS)
+
+
+def _left_join_spreading(
+    left: DataFrame, right: DataFrame, key: str, also: Sequence[str] = (), hot: DataFrame | None = None
 ) -> DataFrame:
-    """Left join in which rows without a key do not meet in one task.
+    """Left join in which neither rows without a key nor those of a hot key meet in one task.
 
     A shuffle join hashes all equal keys to one partition. A NULL or blank key names nobody and
-    matches nothing, so a second join key may differ there: it is 0 where there is a key and a hash
-    of the receipt where there is none. A hot key with a value is left to Spark's splitting of
-    skewed partitions at run time. ``also`` names further join keys.
+    matches nothing, so its lines may lie anywhere. The lines of a key in ``hot`` are dealt out over
+    its parts, and the right rows of that key, and of no other, are repeated once for each part, so
+    each line still meets each of them once. Without ``hot`` a hot key is left to Spark's splitting
+    of skewed partitions at run time. ``also`` names further join keys.
     """
-    # pmod(.., 1) is always 0, yet not a constant the optimizer would move out of the join keys.
-    spread_left = F.when(_no_key(left, key), _spread_key(left)).otherwise(F.lit(0))
-    spread_right = F.pmod(F.xxhash64(key), F.lit(1))
-    return (
-        left.withColumn(_SPREAD, spread_left.cast("bigint"))
-        .join(
-            right.where(~_no_key(right, key)).withColumn(_SPREAD, spread_right.cast("bigint")),
-            [key, *also, _SPREAD],
-            "left",
-        )
-        .drop(_SPREAD)
-    )
+    keyed = right.where(~_no_key(right, key))
+    if hot is None:
+        keyed = keyed.withColumn(_SPREAD, F.pmod(F.xxhash64(key), F.lit(1)).cast("bigint"))
+    else:
+        parts = F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1).cast("array<bigint>")
+        keyed = keyed.join(F.broadcast(hot), key, "left").withColumn(_SPREAD, F.explode(parts)).drop(_PARTS)
+    return spread_lines(left, key, hot).join(keyed, [key, *also, _SPREAD], "left").drop(_SPREAD)
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
@@ -116,12 +144,12 @@ def _products_of(products: DataFrame, *more: str) -> DataFrame:
 
 def add_users(lines: DataFrame, users: DataFrame) -> DataFrame:
     """Receipt lines with the columns of their user, prefixed ``USERID_``."""
-    return _left_join_spreading_nulls(lines, _users_of(users), "USER_ID")
+    return _left_join_spreading(lines, _users_of(users), "USER_ID")
 
 
 def add_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Receipt lines with the columns of their product, prefixed ``BARCODE_``."""
-    return _left_join_spreading_nulls(lines, _products_of(products), "BARCODE")
+    return _left_join_spreading(lines, _products_of(products), "BARCODE")
 
 
 def build_master(
@@ -138,6 +166,7 @@ def build_master(
     line of such a key is repeated once for each of its rows, with the place of that row. These
     narrow lines are sorted, numbered and stored; users and products are then joined by key and
     place, one row to a line, lazily. Runs the numbering job, nothing is sorted after the joins.
+    The keys of the lines are counted first; those that would overfill a task are dealt out by number.
     """
     numbered = "row_id" in transactions.columns
     if row_id and not numbered:
@@ -155,11 +184,17 @@ def build_master(
     users, lines, by_user = _with_places(users, lines, "USER_ID", "_user")
     order = [*LINE_COLUMNS, "DUPE_CHECK", *by_product, *by_user]
     rows = add_row_id(lines, order, "row_id", unique_order=True)
-    wide = _left_join_spreading_nulls(rows, _users_of(users, *by_user), "USER_ID", by_user)
-    wide = _left_join_spreading_nulls(wide, _products_of(products, *by_product), "BARCODE", by_product)
+    hot_users, hot_barcodes = (_stored_hot(rows, key) for key in ("USER_ID", "BARCODE"))
+    wide = _left_join_spreading(rows, _users_of(users, *by_user), "USER_ID", by_user, hot_users)
+    wide = _left_join_spreading(wide, _products_of(products, *by_product), "BARCODE", by_product, hot_barcodes)
     return wide.select(*columns, "row_id")
 
 
+def _stored_hot(rows: DataFrame, key: str) -> DataFrame | None:
+    hot = store(hot_keys(rows, key), "hot_keys")
+    return None if hot.isEmpty() else hot
+
+
 def _with_places(
     df: DataFrame, lines: DataFrame, key: str, place: str
 ) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -171,7 +206,7 @@ def _with_places(
     if repeats.isEmpty():
         return df, lines, []
     placed = df.join(_places(df, repeats, key, place), "row_id", "left")
-    copies = _left_join_spreading_nulls(lines, repeats, key).withColumn(
+    copies = _left_join_spreading(lines, repeats, key).withColumn(
         place, F.explode(F.sequence(F.lit(0), F.coalesce(_TIMES, F.lit(1)) - 1))
     )
     # Places are whole numbers on both sides, 0 for a key on one row.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import master, staging
 from tallyglass.sources.schemas import MASTER, STAGE_PRODUCTS, STAGE_TRANSACTION, STAGE_USER
+from tallyglass.sources.scratch import store
 
 LINES = "RECEIPT_ID PURCHASE_DATE SCAN_DATE STORE_NAME USER_ID BARCODE FINAL_QUANTITY FINAL_SALE"
 PEOPLE = "ID CREATED_DATE BIRTH_DATE STATE LANGUAGE GENDER"
@@ -200,3 +201,60 @@ def test_lines_are_numbered_before_they_are_widened(spark, shuffled):
     assert rows == [(*r, k + 1) for k, r in enumerate(plain)]
     assert "Sort " not in plan  # nothing is ordered once the lines are wide
     assert fanout == values(master.fanout_check(ours))
+
+
+def _lines_with_a_hot_barcode(spark, rows=20_000):
+    """Half of the lines name one barcode, a twentieth none, the rest 500 others; users alike."""
+    n = F.col("id")
+    other = (n % 500 + 1000).cast("string")
+    columns = {
+        "RECEIPT_ID": F.concat(F.lit("R"), (n / 3).cast("int")),
+        "PURCHASE_DATE": F.lit("2024-01-01"),
+        "SCAN_DATE": F.lit("2024-01-02"),
+        "STORE_NAME": F.lit("SHOP"),
+        "USER_ID": F.when(n % 3 == 0, "u1").when(n % 20 == 1, "").otherwise(F.concat(F.lit("u"), other)),
+        "BARCODE": F.when(n % 2 == 0, "7").when(n % 20 == 1, None).otherwise(other),
+        "FINAL_QUANTITY": F.lit("1"),
+        "FINAL_SALE": (n % 10).cast("string"),
+    }
+    return store(spark.range(rows).select(*[c.alias(k) for k, c in columns.items()]), "hot_lines")
+
+
+def test_hot_keys_are_few_and_dealt_out_evenly(spark):
+    lines = staging.stage_transactions(_lines_with_a_hot_barcode(spark))
+    hot = master.hot_keys(lines, "BARCODE", 32)
+    assert values(hot) == [(7, 135)]  # 10,000 of the 19,000 lines with a barcode: 16.8 shares of 32, 8 pieces each
+    assert master.hot_keys(lines.where("BARCODE <> 7"), "BARCODE", 32).count() == 0
+    assert master.hot_keys(lines.limit(0), "BARCODE", 32).count() == 0
+
+    def largest_to_median(spread):
+        dealt = spread.repartition(32, "BARCODE", "_spread").groupBy(F.spark_partition_id()).count()
+        sizes = sorted(r["count"] for r in dealt.collect())
+        return sizes[-1] / sizes[len(sizes) // 2]
+
+    assert largest_to_median(master.spread_lines(lines, "BARCODE")) > 10
+    assert largest_to_median(master.spread_lines(lines, "BARCODE", hot)) <= 2
+
+
+def test_a_master_with_hot_keys_equals_the_plain_join(spark, table):
+    lines = staging.stage_transactions(_lines_with_a_hot_barcode(spark, 3000))
+    goods = table(
+        GOODS,
+        ("A", "", "", "", "M", "X", "7"), ("B", "", "", "", "M", "Y", "7"), ("C", "", "", "", "M", "Z", "1001"),
+        ("D", "", "", "", "M", "N", None),
+    )
+    people = table(
+        PEOPLE,
+        ("u1", "2024-01-01", "1990-01-01", "WI", "en", "female"), ("u1001", "2024-01-01", "", "", "", ""),
+        ("", "2024-01-01", "", "XX", "", ""),
+    )
+    users, products = staging.stage_users(people), staging.stage_products(goods)
+    wide = master.build_master(lines, users, products)
+    plain = lines.withColumnRenamed("row_id", "DUPE_CHECK").join(
+        users.where("USER_ID <> ''").select("USER_ID", F.col("STATE").alias("USERID_STATE")), "USER_ID", "left"
+    ).join(products.select("BARCODE", F.col("BRAND").alias("BARCODE_BRAND")), "BARCODE", "left")
+    columns = ["DUPE_CHECK", "USER_ID", "BARCODE", "USERID_STATE", "BARCODE_BRAND", "FINAL_SALE"]
+    assert values(wide.select(columns)) == values(plain.select(columns))
+    assert wide.count() == 4500 and wide.select("row_id").distinct().count() == 4500
+    joined = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(cast(sequence(0" in joined  # the hot keys were found and their right rows repeated
