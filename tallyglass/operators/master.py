@@ -12,7 +12,8 @@ from ..sources.schemas import LINE_COLUMNS, PRODUCT_COLUMNS, USER_COLUMNS
 from ..sources.scratch import store
 from .ordering import add_row_id
 
-_SPREAD, _TIMES, _FIRST, _PARTS = "_spread", "_times", "_first", "_parts"
+SPREAD = "_spread"
+_TIMES, _FIRST, _PARTS = "_times", "_first", "_parts"
 
 #: Into how many pieces an even share of a hot key is cut; more pieces lie more evenly in hash partitions.
 PIECES = 8
@@ -96,10 +97,19 @@ def spread_lines(left: DataFrame, key: str, hot: DataFrame | None = None, number
         left = left.join(F.broadcast(hot), key, "left")  # fewer rows than partitions
         part = F.when(F.col(_PARTS).isNotNull(), F.pmod(number, _PARTS)).otherwise(part)
     return left.withColumn(
-        _SPREAD, F.when(_no_key(left, key), _spread_key(left)).otherwise(part).cast("bigint")
+        SPREAD, F.when(_no_key(left, key), _spread_key(left)).otherwise(part).cast("bigint")
     ).drop(_PARTS)
 
 
+def spread_right(right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """The right side's rows with a key, and ``_spread``: each row of a hot key once for each of its parts."""
+    keyed = right.where(~_no_key(right, key))
+    if hot is None:
+        return keyed.withColumn(SPREAD, F.pmod(F.xxhash64(key), F.lit(1)).cast("bigint"))
+    parts = F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1).cast("array<bigint>")
+    return keyed.join(F.broadcast(hot), key, "left").withColumn(SPREAD, F.explode(parts)).drop(_PARTS)
+
+
 def _left_join_spreading(
     left: DataFrame, right: DataFrame, key: str, also: Sequence[str] = (), hot: DataFrame | None = None
 ) -> DataFrame:
@@ -111,13 +121,8 @@ def _left_join_spreading(
     each line still meets each of them once. Without ``hot`` a hot key is left to Spark's splitting
     of skewed partitions at run time. ``also`` names further join keys.
     """
-    keyed = right.where(~_no_key(right, key))
-    if hot is None:
-        keyed = keyed.withColumn(_SPREAD, F.pmod(F.xxhash64(key), F.lit(1)).cast("bigint"))
-    else:
-        parts = F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1).cast("array<bigint>")
-        keyed = keyed.join(F.broadcast(hot), key, "left").withColumn(_SPREAD, F.explode(parts)).drop(_PARTS)
-    return spread_lines(left, key, hot).join(keyed, [key, *also, _SPREAD], "left").drop(_SPREAD)
+    keyed = spread_right(right, key, hot)
+    return spread_lines(left, key, hot).join(keyed, [key, *also, SPREAD], "left").drop(SPREAD)
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
@@ -134,22 +139,24 @@ def _places(df: DataFrame, repeats: DataFrame, key: str, place: str) -> DataFram
     return store(numbered.join(first, key).select("row_id", (F.col(place) - F.col(_FIRST)).alias(place)), "places")
 
 
-def _users_of(users: DataFrame, *more: str) -> DataFrame:
+def users_of(users: DataFrame, *more: str) -> DataFrame:
+    """User id and the other columns under their names in the master table."""
     return users.select("USER_ID", *[F.col(c).alias(f"USERID_{c}") for c in USER_COLUMNS], *more)
 
 
-def _products_of(products: DataFrame, *more: str) -> DataFrame:
+def products_of(products: DataFrame, *more: str) -> DataFrame:
+    """Barcode and the other columns under their names in the master table."""
     return products.select("BARCODE", *[F.col(c).alias(f"BARCODE_{c}") for c in PRODUCT_COLUMNS], *more)
 
 
 def add_users(lines: DataFrame, users: DataFrame) -> DataFrame:
     """Receipt lines with the columns of their user, prefixed ``USERID_``."""
-    return _left_join_spreading(lines, _users_of(users), "USER_ID")
+    return _left_join_spreading(lines, users_of(users), "USER_ID")
 
 
 def add_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Receipt lines with the columns of their product, prefixed ``BARCODE_``."""
-    return _left_join_spreading(lines, _products_of(products), "BARCODE")
+    return _left_join_spreading(lines, products_of(products), "BARCODE")
 
 
 def build_master(
@@ -184,14 +191,15 @@ def build_master(
     users, lines, by_user = _with_places(users, lines, "USER_ID", "_user")
     order = [*LINE_COLUMNS, "DUPE_CHECK", *by_product, *by_user]
     rows = add_row_id(lines, order, "row_id", unique_order=True)
-    hot_users, hot_barcodes = (_stored_hot(rows, key) for key in ("USER_ID", "BARCODE"))
-    wide = _left_join_spreading(rows, _users_of(users, *by_user), "USER_ID", by_user, hot_users)
-    wide = _left_join_spreading(wide, _products_of(products, *by_product), "BARCODE", by_product, hot_barcodes)
+    hot_users, hot_barcodes = (stored_hot(rows, key) for key in ("USER_ID", "BARCODE"))
+    wide = _left_join_spreading(rows, users_of(users, *by_user), "USER_ID", by_user, hot_users)
+    wide = _left_join_spreading(wide, products_of(products, *by_product), "BARCODE", by_product, hot_barcodes)
     return wide.select(*columns, "row_id")
 
 
-def _stored_hot(rows: DataFrame, key: str) -> DataFrame | None:
-    hot = store(hot_keys(rows, key), "hot_keys")
+def stored_hot(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame | None:
+    """The stored list of ``hot_keys``, or None if there are none."""
+    hot = store(hot_keys(rows, key, partitions), "hot_keys")
     return None if hot.isEmpty() else hot
 
 

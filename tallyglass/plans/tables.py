@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.casts import typed
+from ..operators.colocated import read_lines, write_lines
 from ..operators.imports import load_measures
 from ..operators.keys import conflicting_keys
 from ..operators.master import add_products, add_users, build_master, expected_fanout, key_overlap
@@ -27,7 +28,7 @@ from ..sources.schemas import (
     STAGE_TRANSACTION,
     STAGE_USER,
 )
-from ..sources.scratch import scratch_scope, store
+from ..sources.scratch import exists, remove, scratch_scope, store
 from ..sources.stored import read_parquet, write_parquet
 
 Source = DataFrame | Callable[[], DataFrame]
@@ -117,7 +118,11 @@ class RetailTables:
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str) -> RetailTables:
-        """Tables written by ``save``: everything typed, numbered and joined is read, not redone."""
+        """Tables written by ``save``: everything typed, numbered and joined is read, not redone.
+
+        If it was saved with ``buckets``, lines meet users, and products, where they lie: neither
+        side of these joins is shuffled, and the wide table shuffles its lines for one join, not two.
+        """
 
         def saved(name: str, schema: StructType) -> DataFrame:
             return read_parquet(spark, f"{folder}/{name}", schema)
@@ -130,23 +135,37 @@ class RetailTables:
         tables.numbered_transactions = saved("transactions", STAGE_TRANSACTION)
         tables.numbered_users = saved("users", STAGE_USER)
         tables.numbered_products = saved("products", STAGE_PRODUCTS)
-        tables.numbered_master = saved("master", MASTER)
         tables.transactions = tables.numbered_transactions.drop("row_id")
         tables.users = tables.numbered_users.drop("row_id")
         tables.products = tables.numbered_products.drop("row_id")
-        tables.traced_master = tables.numbered_master.drop("row_id")
+        if exists(spark, f"{folder}/buckets"):
+            buckets = read_parquet(spark, f"{folder}/buckets", BUCKETS).first()["buckets"]
+            with_users, with_products = read_lines(spark, folder, buckets, tables.users, tables.products)
+            tables.lines_with_users = with_users.drop("row_id")
+            tables.lines_with_products = with_products.drop("row_id")
+            wide = add_products(with_users.withColumnRenamed("row_id", "DUPE_CHECK"), tables.products)
+            tables.traced_master = wide.select([c for c in MASTER.fieldNames() if c != "row_id"])
+        else:
+            tables.numbered_master = saved("master", MASTER)
+            tables.traced_master = tables.numbered_master.drop("row_id")
         tables.master = tables.traced_master.drop("DUPE_CHECK")
-        # The stored table prunes unused columns itself; no join is left to leave out.
-        tables.lines_with_users = tables.lines_with_products = tables.master
+        if "numbered_master" in tables.__dict__:
+            # The stored table prunes unused columns itself; no join is left to leave out.
+            tables.lines_with_users = tables.lines_with_products = tables.master
         tables._kept = {name: read_parquet(spark, f"{folder}/{name}") for name in INTERMEDIATES}
         tables._kept["load_totals"] = saved("load_totals", LOAD_TOTALS)
         tables._saved = frozenset([*tables._kept, *tables.__dict__])
         return tables
 
-    def save(self, folder: str) -> RetailTables:
+    def save(self, folder: str, buckets: int | None = None) -> RetailTables:
         """Write raw, stage and master tables as Parquet and return the tables that read them.
 
         Each step reads what the step before it wrote, so the CSV files are parsed once.
+
+        With ``buckets`` the wide table is not written. Lines and users are hashed to that many
+        buckets by user instead, lines and products by barcode (``operators.colocated``), which
+        suits tables whose users or products are often replaced. Choose it so that a bucket of
+        lines is a few hundred MB.
         """
 
         def written(df: DataFrame, name: str, schema: StructType) -> DataFrame:
@@ -174,7 +193,12 @@ class RetailTables:
         lines = written(raw.numbered_transactions, "transactions", STAGE_TRANSACTION)
         users = written(raw.numbered_users, "users", STAGE_USER)
         products = written(raw.numbered_products, "products", STAGE_PRODUCTS)
-        written(build_master(lines, users, products), "master", MASTER)
+        if buckets is None:
+            remove(spark, f"{folder}/buckets")  # of an earlier save
+            written(build_master(lines, users, products), "master", MASTER)
+        else:
+            write_lines(lines, users, products, folder, buckets)
+            write_parquet(spark.createDataFrame([(buckets,)], BUCKETS).coalesce(1), f"{folder}/buckets")
         staged = RetailTables(raw.raw_transactions, raw.raw_users, raw.raw_products)
         staged.transactions, staged.users, staged.products = lines, users, products
         for name, make in INTERMEDIATES.items():
@@ -301,6 +325,9 @@ LOAD_TOTALS = StructType(
     ]
 )
 
+#: Into how many buckets the lines of a folder are hashed; stored only if they are.
+BUCKETS = StructType([StructField("buckets", IntegerType())])
+
 #: Intermediates that are kept for several reports, by the name of their table.
 INTERMEDIATES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "user_overlap": lambda t: key_overlap(

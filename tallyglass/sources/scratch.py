@@ -58,7 +58,23 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file systems, wherever it lies; none is no error."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system and folder, as the catalog wants it."""
+    files, place = _place(spark, path)
+    return files.makeQualified(place).toString()
