@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import strict_cast, typed
 from ..functions.text import clean_text, is_missing, null_if_blank, recode
 from ..sources.schemas import RAW_PRODUCTS, RAW_TRANSACTION
+from ..sources.scratch import store
 from .ordering import add_row_id
 
 # Spellings that staging unifies.
@@ -92,19 +93,9 @@ def _numbered(raw: DataFrame, order_by: Sequence[str], row_id: bool) -> tuple[Da
     return add_row_id(raw, order_by, "row_id"), ["row_id"]
 
 
-def stage_transactions(
-    raw: DataFrame, on_error: str = "fail", row_id: bool = True, date_format: str | None = None
-) -> DataFrame:
-    """Typed receipt lines. Identifiers and store are trimmed but keep blanks.
-
-    ``on_error``: ``fail`` stops on a value that does not cast, ``null`` turns it into NULL,
-    ``quarantine`` leaves its row out; ``rejected_rows`` lists the rows left out.
-    With ``row_id`` this runs the numbering job; without it the result stays lazy.
-    """
-    raw = _accepted(raw, TRANSACTION_TYPES, on_error, date_format)
-    rows, extra = _numbered(raw, _ORDER["RECEIPT_ID"], row_id)
+def _transaction_columns(on_error: str, date_format: str | None = None) -> list[Column]:
     cast = _casts(TRANSACTION_TYPES, on_error, date_format)
-    return rows.select(
+    return [
         F.trim("RECEIPT_ID").alias("RECEIPT_ID"),
         cast["PURCHASE_DATE"],
         cast["SCAN_DATE"],
@@ -113,41 +104,100 @@ def stage_transactions(
         cast["BARCODE"],
         cast["FINAL_QUANTITY"],
         cast["FINAL_SALE"],
-        *extra,
-    )
+    ]
 
 
-def stage_users(
-    raw: DataFrame, on_error: str = "fail", row_id: bool = True, date_format: str | None = None
-) -> DataFrame:
-    """Typed users under ``USER_ID``, gender spellings unified, numbered in ID order."""
-    raw = _accepted(raw, USER_TYPES, on_error, date_format)
-    rows, extra = _numbered(raw, _ORDER["ID"], row_id)
+def _user_columns(on_error: str, date_format: str | None = None) -> list[Column]:
     cast = _casts(USER_TYPES, on_error, date_format)
-    return rows.select(
+    return [
         F.trim("ID").alias("USER_ID"),
         cast["CREATED_DATE"],
         cast["BIRTH_DATE"],
         null_if_blank("STATE").alias("STATE"),
         null_if_blank("LANGUAGE").alias("LANGUAGE"),
         recode("GENDER", GENDER_SPELLINGS).alias("GENDER"),
-        *extra,
-    )
+    ]
 
 
-def stage_products(raw: DataFrame, on_error: str = "fail", row_id: bool = True) -> DataFrame:
-    """Typed products. Blank text and unreviewed categories become NULL."""
-    raw = _accepted(raw, PRODUCT_TYPES, on_error, None)
-    rows, extra = _numbered(raw, _ORDER["CATEGORY_1"], row_id)
-    return rows.select(
+def _product_columns(on_error: str, date_format: str | None = None) -> list[Column]:
+    return [
         F.trim(recode("CATEGORY_1", UNREVIEWED_CATEGORY)).alias("CATEGORY_1"),
         *[
             clean_text(c).alias(c)
             for c in ("CATEGORY_2", "CATEGORY_3", "CATEGORY_4", "MANUFACTURER", "BRAND")
         ],
         _casts(PRODUCT_TYPES, on_error, None)["BARCODE"],
-        *extra,
+    ]
+
+
+# Columns that change type and all stage columns, by the first column of the raw table.
+_STAGED = {
+    "RECEIPT_ID": (TRANSACTION_TYPES, _transaction_columns),
+    "ID": (USER_TYPES, _user_columns),
+    "CATEGORY_1": (PRODUCT_TYPES, _product_columns),
+}
+
+
+def stage_transactions(
+    raw: DataFrame, on_error: str = "fail", row_id: bool = True, date_format: str | None = None
+) -> DataFrame:
+    """Typed receipt lines. Identifiers and store are trimmed but keep blanks.
+
+    ``on_error``: ``fail`` stops on a value that does not cast, ``null`` turns it into NULL,
+    ``quarantine`` leaves its row out; ``rejected_rows`` lists the rows left out, and
+    ``split_staged`` gives both from one scan.
+    With ``row_id`` this runs the numbering job; without it the result stays lazy.
+    """
+    raw = _accepted(raw, TRANSACTION_TYPES, on_error, date_format)
+    rows, extra = _numbered(raw, _ORDER["RECEIPT_ID"], row_id)
+    return rows.select(*_transaction_columns(on_error, date_format), *extra)
+
+
+def stage_users(
+    raw: DataFrame, on_error: str = "fail", row_id: bool = True, date_format: str | None = None
+) -> DataFrame:
+    """Typed users under ``USER_ID``, gender spellings unified, numbered in ID order."""
+    raw = _accepted(raw, USER_TYPES, on_error, date_format)
+    rows, extra = _numbered(raw, _ORDER["ID"], row_id)
+    return rows.select(*_user_columns(on_error, date_format), *extra)
+
+
+def stage_products(raw: DataFrame, on_error: str = "fail", row_id: bool = True) -> DataFrame:
+    """Typed products. Blank text and unreviewed categories become NULL."""
+    raw = _accepted(raw, PRODUCT_TYPES, on_error, None)
+    rows, extra = _numbered(raw, _ORDER["CATEGORY_1"], row_id)
+    return rows.select(*_product_columns(on_error), *extra)
+
+
+def split_staged(raw: DataFrame, date_format: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Staged rows, and raw rows with a value that does not cast, from one scan and one write.
+
+    The same rows as ``on_error="quarantine"`` without numbers and ``rejected_rows``. Each row is
+    cast once; it is stored staged if all casts succeed, else as raw text with the columns at
+    fault, in a folder of its own. Which of the three raw tables it is, the first column says.
+    """
+    types, columns = _STAGED[raw.columns[0]]
+    both = raw.select(
+        F.struct(*raw.columns).alias("_raw"), F.struct(*columns("null", date_format)).alias("_staged")
+    )
+    # Known words such as those for zero are no blanks, so the raw text says whether one was given.
+    faults = [
+        F.when(~is_missing(f"_raw.{c}") & F.col(f"_staged.{c}").isNull(), F.lit(c)) for c in types
+    ]
+    marked = both.withColumn("cast_errors", F.array_compact(F.array(*faults)))
+    fits = F.size("cast_errors") == 0
+    split = store(
+        marked.select(
+            F.when(fits, F.col("_staged")).alias("_staged"),
+            F.when(~fits, F.col("_raw")).alias("_raw"),
+            "cast_errors",
+            fits.alias("accepted"),
+        ),
+        "split",
+        by="accepted",
     )
+    accepted = split.where("accepted").select("_staged.*")
+    return accepted, split.where("NOT accepted").select("_raw.*", "cast_errors")
 
 
 def preview_staged(raw: DataFrame, stage: Callable[..., DataFrame], n: int = 100) -> DataFrame:

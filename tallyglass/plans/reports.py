@@ -19,7 +19,6 @@ from ..operators.staging import (
     TRANSACTION_TYPES,
     USER_TYPES,
     preview_staged,
-    rejected_rows,
     stage_products,
     stage_transactions,
     stage_users,
@@ -363,10 +362,8 @@ INTEGRATION: dict[str, Report] = {
     "stage_users": lambda t: t.numbered_users,
     "stage_products": lambda t: t.numbered_products,
     "stage_transactions_null": lambda t: stage_transactions(t.raw_transactions, "null", row_id=False),
-    "stage_transactions_quarantine": lambda t: stage_transactions(
-        t.raw_transactions, "quarantine", row_id=False
-    ),
-    "rejected_transactions": lambda t: rejected_rows(t.raw_transactions, TRANSACTION_TYPES).withColumn(
+    "stage_transactions_quarantine": lambda t: t.accepted_transactions,
+    "rejected_transactions": lambda t: t.rejected_transactions.withColumn(
         "cast_errors", F.concat_ws(", ", "cast_errors")
     ),
     "stage_transactions_preview": lambda t: preview_staged(t.raw_transactions, stage_transactions),

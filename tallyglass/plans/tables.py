@@ -15,7 +15,14 @@ from ..operators.colocated import read_lines, write_lines
 from ..operators.imports import load_measures
 from ..operators.keys import conflicting_keys
 from ..operators.master import add_products, add_users, build_master, expected_fanout, key_overlap
-from ..operators.staging import stage_products, stage_transactions, stage_users
+from ..operators.staging import (
+    TRANSACTION_TYPES,
+    rejected_rows,
+    split_staged,
+    stage_products,
+    stage_transactions,
+    stage_users,
+)
 from ..sources import star_tables
 from ..sources.csv_files import read_raw_csv
 from ..sources.schemas import (
@@ -237,6 +244,27 @@ class RetailTables:
     def products(self) -> DataFrame:
         return stage_products(self.raw_products, row_id=False)
 
+    @cached_property
+    def _split_transactions(self) -> tuple[DataFrame, DataFrame]:
+        return split_staged(self.raw_transactions)
+
+    @property
+    def accepted_transactions(self) -> DataFrame:
+        """Staged lines all of whose values cast, without numbers.
+
+        Inside ``with tables:`` these and the rejected lines come from one scan, stored on first use.
+        """
+        if self._life is None:
+            return stage_transactions(self.raw_transactions, "quarantine", row_id=False)
+        return self._split_transactions[0]
+
+    @property
+    def rejected_transactions(self) -> DataFrame:
+        """Raw lines with a value that does not cast, and the columns at fault."""
+        if self._life is None:
+            return rejected_rows(self.raw_transactions, TRANSACTION_TYPES)
+        return self._split_transactions[1]
+
     @cached_property
     def numbered_transactions(self) -> DataFrame:
         return stage_transactions(self._for_numbering(self.raw_transactions, "raw_transactions"))
