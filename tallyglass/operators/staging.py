@@ -61,12 +61,22 @@ def _date_format(dtype: str, fmt: str | None) -> str | None:
     return fmt if dtype == "timestamp_ntz" else None
 
 
+def _worked_out(raw: DataFrame) -> DataFrame:
+    """The same rows, each given by a generator, so that what is above reads finished values.
+
+    Else Spark moves a filter on casts down to where the text is made, into a join if the raw table
+    is one, and writes out the making of a text anew for each of its many uses in the filter. That
+    code is then too long for the JVM to compile, and runs some twenty times slower.
+    """
+    return raw.select(F.inline(F.array(F.struct(*raw.columns))))
+
+
 def rejected_rows(raw: DataFrame, types: Mapping[str, str], date_format: str | None = None) -> DataFrame:
     """Raw rows with a value that does not cast, and the names of the columns at fault."""
     faults = [
         F.when(_fails_cast(c, t, _date_format(t, date_format)), F.lit(c)) for c, t in types.items()
     ]
-    marked = raw.withColumn("cast_errors", F.array_compact(F.array(*faults)))
+    marked = _worked_out(raw).withColumn("cast_errors", F.array_compact(F.array(*faults)))
     return marked.where(F.size("cast_errors") > 0)
 
 
@@ -81,6 +91,7 @@ def _accepted(raw: DataFrame, types: Mapping[str, str], on_error: str, date_form
     if on_error in ("fail", "null"):
         return raw
     if on_error == "quarantine":
+        raw = _worked_out(raw)
         for c, t in types.items():
             raw = raw.where(~_fails_cast(c, t, _date_format(t, date_format)))
         return raw

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.operators import staging
 from tallyglass.plans.reports import REPORTS
 from tallyglass.plans.tables import RetailTables
+from tallyglass.sources.schemas import RAW_TRANSACTION
 
 STAR = "/root/testdata/sf0.001"
 
@@ -80,3 +81,19 @@ def test_reports_in_a_scope_share_one_scan(spark, tmp_path, monkeypatch):
             assert plan_of(df).count("FileScan") == 1 and all("/split-" in f for f in df.inputFiles())
         assert len(list((tmp_path / "tallyglass").glob("*"))) == 1
     assert not list((tmp_path / "tallyglass").glob("*"))
+
+
+def test_casts_of_a_joined_raw_table_stay_out_of_the_join(spark, table):
+    lines = table("k:long", 1, 2, 3)
+    texts = table("k:long a", (1, "2024-06-13"), (2, "never"), (3, None))
+    made = F.concat("a", F.lit(" 08:30:00"))
+    raw = lines.join(texts.hint("merge"), "k").select(
+        *[made.alias(c) if c == "SCAN_DATE" else F.lit("1").alias(c) for c in RAW_TRANSACTION.fieldNames()]
+    ).withColumn("PURCHASE_DATE", F.lit(None).cast("string"))
+    accepted = staging.stage_transactions(raw, "quarantine", row_id=False)
+    rejected = staging.rejected_rows(raw, staging.TRANSACTION_TYPES)
+    for df in (accepted, rejected):
+        # The text is made once, above the join, and not once more for each use in a filter.
+        assert plan_of(df).count("08:30:00") == 1
+    assert values(accepted.select(F.col("SCAN_DATE").cast("string"))) == [None, "2024-06-13 08:30:00"]
+    assert [(r.SCAN_DATE, r.cast_errors) for r in rejected.collect()] == [("never 08:30:00", ["SCAN_DATE"])]
