@@ -74,6 +74,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """What the files of a table take, without reading them."""
+    files, place = _place(spark, path)
+    return files.getContentSummary(place).getLength()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system and folder, as the catalog wants it."""
     files, place = _place(spark, path)

@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from tallyglass.operators.analytics import top_per_group
 from tallyglass.operators.staging import stage_transactions, stage_users
@@ -9,6 +10,8 @@ from tallyglass.plans.profile import scan_profile, value_counts_of_columns
 from tallyglass.plans.reports import REPORTS
 from tallyglass.plans.session import shuffle_partitions
 from tallyglass.plans.tables import RetailTables
+from tallyglass.sources import star_tables
+from tallyglass.sources.scratch import stored_bytes
 from tallyglass.sources.stored import write_bucketed
 
 STAR = "/root/testdata/sf0.001"
@@ -168,3 +171,15 @@ def test_every_report_is_a_dataframe_with_named_columns(star):
 
 def test_any_rows_come_from_the_table(star):
     assert values(REPORTS["transactions_any_rows"](star)) == [(100, 100)]
+
+
+def test_a_task_of_raw_lines_is_no_larger_in_a_larger_table(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    apart = star_tables.raw_transaction(spark, folder)
+    monkeypatch.setattr(star_tables, "LINE_BYTES", 2**16)
+    dealt = star_tables.raw_transaction(spark, folder)
+    tasks = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    asked = -(-stored_bytes(spark, f"{folder}/lineitem.parquet") // 2**16)
+    assert len(tasks) == asked > spark.sparkContext.defaultParallelism
+    assert tasks.max() < 2 * tasks.mean()
+    assert dealt.exceptAll(apart).isEmpty() and apart.exceptAll(dealt).isEmpty()
