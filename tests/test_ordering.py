@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyglass.operators.ordering import add_amount_before, add_percent_rank, add_row_id
-from tallyglass.sources.scratch import shared_dir, store
+from tallyglass.sources.scratch import shared_dir, store, stored_bytes
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,14 @@ def test_without_a_checkpoint_folder_tables_go_to_the_warehouse():
 
     for master in ("yarn", "local[2]"):
         assert shared_dir(session(**{"spark.master": master, "spark.sql.warehouse.dir": "hdfs:///w/"})) == "hdfs:///w/_stored"
+
+
+def test_the_sorted_layout_is_packed(spark, tmp_path, monkeypatch):
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("a"), "id").coalesce(1)
+    rows.write.parquet(str(tmp_path / "plain"))
+    plain = stored_bytes(spark, str(tmp_path / "plain"))
+    monkeypatch.setattr("tallyglass.sources.scratch.shared_dir", lambda _: str(tmp_path / "shared"))
+    numbered = add_row_id(rows, ["a"], unique_order=True, partitions=1)
+    # The layout holds the same rows and two whole numbers more.
+    assert stored_bytes(spark, str(tmp_path / "shared")) < 0.9 * plain
+    assert numbered.drop("row_id").exceptAll(rows).isEmpty() and numbered.count() == 20_000
