@@ -115,6 +115,22 @@ def test_url_filter_against_sql(spark):
     assert by[6][2] is None and by[0][:3] == ("", "", None)
 
 
+def test_url_filter_sends_no_side_of_a_join_through_the_driver(spark):
+    urls = [f"http://{host}/{k % 7}/{'abcde'[k % 5] * 9}{k * k}" for k in range(400) for host in ("a.com", "b.net/es", "c.net/de", "d.org")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    most = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(most, "1b")  # any broadcast fails, also one of a side that is planned to be small
+    try:
+        got = rows_of(url_filter.filter_urls(pages), "page_id", "rule", "verdict")
+    finally:
+        spark.conf.unset(most)
+    con = duckdb.connect()
+    frame = pages.toPandas()  # noqa: F841
+    con.execute("CREATE VIEW pages AS SELECT page_id, url FROM frame")
+    assert got == sorted(con.execute(f"SELECT page_id, rule, verdict FROM ({url_filter.ORACLE})").fetchall(), key=str)
+    assert {v for _, rule, v in got if rule is None} == {"allow", "block"}
+
+
 def test_classifiers(spark):
     good, bad = "The quiet river runs, past old stones and fields. ", "BUY!! BUY!! BUY!! "
     texts = [good * (k % 5 + 1) + str(k) if k % 2 else bad * (k % 7 + 3) for k in range(240)] + [None, ""]
